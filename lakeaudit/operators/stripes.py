@@ -1,0 +1,154 @@
+"""Parity blocks of striped data over GF(2^8): (stripe, idx, off, b).
+
+A stripe has k data blocks (idx 0 to k-1) and m parity blocks (idx k to
+k+m-1). Data is stored as it is; parity r weighs data block c with
+alpha ** ((r+1)*c). Recovery therefore uses identity rows for data blocks and
+the weights above for parity blocks.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FIELD_POLY = 0x11D
+
+
+def _field() -> tuple[list[int], list[int]]:
+    """exp[i] = alpha**i for i < 255, and its inverse (log[0] is unused)."""
+    exp = [1]
+    while len(exp) < 255:
+        doubled = exp[-1] << 1
+        exp.append(doubled ^ FIELD_POLY if doubled > 255 else doubled)
+    log = [0] * 256
+    for power, value in enumerate(exp):
+        log[value] = power
+    return exp, log
+
+
+EXP, LOG = _field()
+
+
+def times(a: int, b: int) -> int:
+    return EXP[(LOG[a] + LOG[b]) % 255] if a and b else 0
+
+
+def weight(r: int, c: int) -> int:
+    return EXP[(r + 1) * c % 255]
+
+
+def _row(i: int, k: int) -> list[int]:
+    """What block ``i`` of a stripe holds, as weights of the k data blocks."""
+    return [int(i == c) for c in range(k)] if i < k else [weight(i - k, c) for c in range(k)]
+
+
+def solve(rows: list[list[int]]) -> list[list[int]] | None:
+    """Inverse of a small square matrix over the field; None if there is none."""
+    n = len(rows)
+    work = [list(r) + [int(i == j) for j in range(n)] for i, r in enumerate(rows)]
+    for col in range(n):
+        pivot = next((r for r in range(col, n) if work[r][col]), None)
+        if pivot is None:
+            return None
+        work[col], work[pivot] = work[pivot], work[col]
+        scale = EXP[-LOG[work[col][col]] % 255]
+        work[col] = [times(scale, x) for x in work[col]]
+        for r in range(n):
+            if r != col and work[r][col]:
+                f = work[r][col]
+                work[r] = [x ^ times(f, y) for x, y in zip(work[r], work[col])]
+    return [r[n:] for r in work]
+
+
+def _ints(values: list[int]) -> Column:
+    """An int array literal; the optimizer folds it once per plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def stripe_parity(blocks: DataFrame, k: int, m: int) -> DataFrame:
+    """Parity rows (stripe, r, off, b).
+
+    All m products of a byte are looked up in one array each, in generated
+    code; the one shuffle carries partial XORs.
+    """
+    products = [
+        F.get(
+            _ints([times(weight(r, c), b) for c in range(k) for b in range(256)]),
+            F.col("idx") * 256 + F.col("b"),
+        )
+        for r in range(m)
+    ]
+    wide = blocks.groupBy("stripe", "off").agg(
+        *[F.bit_xor(p).alias(f"_p{r}") for r, p in enumerate(products)]
+    )
+    return wide.select(
+        "stripe", F.posexplode(F.array(*[f"_p{r}" for r in range(m)])).alias("r", "b"), "off"
+    ).select("stripe", "r", "off", "b")
+
+
+def decode_table(k: int, m: int) -> list[tuple]:
+    """(mask, idx, weight per block) for every loss of 1 to m blocks.
+
+    ``mask`` has a bit for each surviving block. The size depends on k and m
+    alone: 36 rows for k=4, m=2.
+    """
+    n = k + m
+    out = []
+    for lost_count in range(1, m + 1):
+        for lost in combinations(range(n), lost_count):
+            alive = [i for i in range(n) if i not in lost]
+            mask = sum(1 << i for i in alive)
+            # Any k survivors will do; take the first set that can be solved.
+            found = next(
+                ((s, inv) for s in combinations(alive, k) if (inv := solve([_row(i, k) for i in s]))),
+                None,
+            )
+            if found is None:
+                continue
+            used, inverse = found
+            for idx in lost:
+                if idx < k:
+                    weights = dict(zip(used, inverse[idx]))
+                    out.append((mask, idx, *[weights.get(i, 0) for i in range(n)]))
+    return out
+
+
+def stripe_recover(blocks: DataFrame, k: int, m: int) -> DataFrame:
+    """Lost data bytes (stripe, idx, off, b, status) from the surviving blocks.
+
+    ``status`` is ``recovered``, or ``lost`` with a NULL byte when too few
+    blocks survive. Rows are grouped by (stripe, off), at most k+m of them, so
+    a stripe of any length spreads over all tasks.
+    """
+    n = k + m
+    byte = {i: f"_b{i}" for i in range(n)}
+    wide = blocks.groupBy("stripe", "off").agg(
+        *[F.max(F.when(F.col("idx") == i, F.col("b"))).alias(byte[i]) for i in range(n)]
+    )
+    mask = sum((F.when(F.col(byte[i]).isNotNull(), 1 << i).otherwise(0) for i in range(n)), F.lit(0))
+    gone = F.filter(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda i: F.get(F.array(*[F.col(byte[j]).isNull() for j in range(k)]), i),
+    )
+    lost = wide.withColumn("mask", mask.cast("int")).withColumn("idx", F.explode(gone))
+    names = ["mask int", "idx int"] + [f"w{i} int" for i in range(n)]
+    table = blocks.sparkSession.createDataFrame(decode_table(k, m), ", ".join(names))
+    exp, log = _ints(EXP), _ints(LOG)
+
+    def product(i: int) -> Column:
+        power = F.pmod(F.get(log, F.col(f"w{i}")) + F.get(log, F.col(byte[i])), F.lit(255))
+        zero = (F.col(f"w{i}") == 0) | (F.col(byte[i]) == 0)
+        return F.when(zero, F.lit(0)).otherwise(F.get(exp, power))
+
+    value = product(0)
+    for i in range(1, n):
+        value = value.bitwiseXOR(product(i))
+    return lost.join(F.broadcast(table), ["mask", "idx"], "left").select(
+        "stripe",
+        "idx",
+        "off",
+        value.alias("b"),
+        F.when(F.col("w0").isNull(), "lost").otherwise("recovered").alias("status"),
+    )
