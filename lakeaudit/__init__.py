@@ -1 +1,9 @@
 """Storage-inventory and run-log analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so it need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

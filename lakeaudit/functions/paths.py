@@ -43,7 +43,7 @@ def dfs_key(path: Column) -> Column:
     ``/`` becomes the smallest character, so ``a`` < ``a/b`` < ``a-b`` as in a
     walk. It equals comparing segment arrays, at the price of a string sort.
     """
-    return F.translate(path, "/", "\u0000")
+    return F.replace(path, F.lit("/"), F.lit("\u0000"))
 
 
 def rel_path(path: Column, root: str) -> Column:

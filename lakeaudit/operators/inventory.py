@@ -63,8 +63,7 @@ def top_dirs(entries: DataFrame, n: int = 10) -> DataFrame:
 
 def empty_dirs(entries: DataFrame) -> DataFrame:
     """Directories with no entries at all; one that holds only files is not empty."""
-    used = entries.where(F.col("parent").isNotNull()).select(F.col("parent").alias("path"))
-    return _dirs(entries).select("path").join(used.distinct(), "path", "left_anti")
+    return dir_child_count(entries).where(F.col("n") == 0).select("path")
 
 
 def _list_wrong(

@@ -88,27 +88,19 @@ def mode_split(log: DataFrame, read_share: float, hot_rows: int = HOT_ROWS) -> D
     )
     numbered = ranked(per_worker, [], "worker", "_rank", hot_rows)
     readers = per_worker.agg(F.floor(_rows() * F.lit(read_share))).scalar()
-    mode = F.when(F.col("_rank") <= readers, "read").otherwise("write")
-    found = (
-        numbered.withColumn("mode", mode)
-        .groupBy("mode")
-        .agg(
-            _rows().alias("workers"),
-            F.sum("items").alias("items"),
-            F.sum("elapsed").alias("elapsed"),
+    reads = F.col("_rank") <= readers
+
+    def totals(mode: str, picked: Column) -> Column:
+        return F.struct(
+            F.lit(mode).alias("mode"),
+            F.count_if(picked).alias("workers"),
+            *[F.coalesce(F.sum(F.when(picked, F.col(c))), F.lit(0)).alias(c) for c in ("items", "elapsed")],
         )
+
+    both = numbered.withColumn("_reads", reads).agg(
+        F.array(totals("read", F.col("_reads")), totals("write", ~F.col("_reads"))).alias("_modes")
     )
-    spark = log.sparkSession
-    none = spark.createDataFrame(
-        [("read", 0, 0, 0), ("write", 0, 0, 0)],
-        "mode string, workers bigint, items bigint, elapsed bigint",
-    )
-    return (
-        found.unionByName(none)
-        .groupBy("mode")
-        .agg(*[F.sum(c).alias(c) for c in ("workers", "items", "elapsed")])
-        .withColumn("per_sec", items_per_sec())
-    )
+    return both.select(F.inline("_modes")).withColumn("per_sec", items_per_sec())
 
 
 def batch_time(log: DataFrame, batch: int) -> DataFrame:
@@ -147,7 +139,7 @@ def running_max(log: DataFrame, every: int, hot_rows: int = HOT_ROWS) -> DataFra
     reduced to these groups on the map side and only they are ordered.
     """
     group = div(F.col("seq") - 1, every) + 1
-    groups = log.groupBy("worker", group.alias("_g")).agg(
+    groups = log.withColumn("_g", group).groupBy("worker", "_g").agg(
         _rows().alias("_n"),
         F.max("elapsed").alias("_m"),
         F.max(F.col("seq") == F.col("_g") * every).alias("_full"),

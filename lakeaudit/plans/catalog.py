@@ -61,7 +61,7 @@ def src_listing(spark, sf):
         found.where("is_dir")
         .select("path", "listed")
         .join(kids, "path", "left")
-        .select("path", "listed", F.coalesce("n_dirs", F.lit(0)).alias("n_dirs"), "has_data")
+        .select("path", "listed", F.coalesce("n_dirs", F.lit(0)).alias("n_dirs"), F.coalesce("has_data", F.lit(False)).alias("has_data"))
     )
 
 
@@ -217,12 +217,12 @@ def health_gate(spark, sf):
 
 @query
 def tree_diff_missing(spark, sf):
-    return trees.tree_diff_missing(V.entries(spark, sf), V.base(spark, sf))
+    return trees.tree_diff_missing(*V.entries_and_base(spark, sf))
 
 
 @query
 def tree_diff_kind(spark, sf):
-    return trees.tree_diff_kind(V.entries(spark, sf), V.base(spark, sf))
+    return trees.tree_diff_kind(*V.entries_and_base(spark, sf))
 
 
 @query
@@ -305,7 +305,7 @@ def entity_ttl(spark, sf):
 
 @query
 def dir_expect_count(spark, sf):
-    return inventory.dir_expect_count(V.entries(spark, sf), P.EXPECTED_CHILDREN)
+    return inventory.dir_expect_count(V.stored(V.entries(spark, sf), "entries"), P.EXPECTED_CHILDREN)
 
 
 @query

@@ -206,7 +206,7 @@ ORACLE: dict[str, str] = {
     "src_listing": with_views(
         ["fx_runs"],
         """select '' as path, true as listed, count(distinct suite) as n_dirs, false as has_data from fx_runs
-        union all select 'suite='||suite, true, count(distinct level), null from fx_runs group by suite
+        union all select 'suite='||suite, true, count(distinct level), false from fx_runs group by suite
         union all select distinct 'suite='||suite||'/level='||level, true, 0, true from fx_runs""",
     ),
     "src_children": with_views(

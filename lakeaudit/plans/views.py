@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeaudit.functions import paths, sizes
 from lakeaudit.functions.numbers import div
 from lakeaudit.operators.ordered import ranked
 from lakeaudit.operators.skew import salted_join
+from lakeaudit.session import new_path
+
+
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema from the file footer, read once per session and table."""
+    return spark.read.parquet(path).schema
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _text(col: str | Column) -> Column:
@@ -107,16 +118,30 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return _keyed_entries(spark, sf).drop("o_orderkey", "o_custkey")
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
-    """The other side of a comparison: parts are missing, some directories are files."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder, for a view that a query reads several times.
+
+    A listing is a stored table in practice; here it is derived by joins that
+    would otherwise run again for every use.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def entries_and_base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a comparison, from one stored listing.
+
+    On the other side parts are missing and some directories are files.
+    """
+    keyed = stored(_keyed_entries(spark, sf), "entries")
     kept_file = (F.col("o_orderkey") % 7 != 0) & (F.col("o_custkey") % 10 != 3)
     kept = F.coalesce(kept_file, ~F.col("name").like("c%3"))
     clash = F.col("name").like("s%0")
-    return (
-        _keyed_entries(spark, sf)
-        .where(kept)
-        .select("path", F.when(clash, False).otherwise(F.col("is_dir")).alias("is_dir"), "length")
+    base = keyed.where(kept).select(
+        "path", F.when(clash, False).otherwise(F.col("is_dir")).alias("is_dir"), "length"
     )
+    return keyed.drop("o_orderkey", "o_custkey"), base
 
 
 def dup(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,15 +158,17 @@ def dup(spark: SparkSession, sf: str) -> DataFrame:
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest that disagrees with the listing here and there."""
-    listed = files(spark, sf)
     off = F.when(F.col("o_orderkey") % 17 == 0, 1).otherwise(0)
-    kept = listed.where(F.col("o_orderkey") % 13 != 0).select(
-        "path", (F.col("length") + off).alias("expected_length")
-    )
-    gone = listed.where(F.col("o_orderkey") % 101 == 0).select(
-        F.concat(F.col("path"), F.lit(".gone")).alias("path"), F.col("length").alias("expected_length")
+
+    def row(path: Column, length: Column) -> Column:
+        return F.struct(path.alias("path"), length.alias("expected_length"))
+
+    path, length = F.col("path"), F.col("length")
+    wanted, gone = row(path, length + off), row(F.concat(path, F.lit(".gone")), length)
+    both = F.array(
+        F.when(F.col("o_orderkey") % 13 != 0, wanted), F.when(F.col("o_orderkey") % 101 == 0, gone)
     )
-    return kept.unionByName(gone)
+    return files(spark, sf).select(F.inline(F.filter(both, lambda r: r.isNotNull())))
 
 
 def kv(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,13 +33,14 @@ def overwrite(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def fanout(df: DataFrame, path: str, worker: str, files: int, max_records: int = 10_000_000) -> None:
-    """One sub-directory per worker with about ``files`` files each.
+    """One sub-directory per worker with up to ``files`` files each.
 
-    Rows of a worker are dealt over ``files`` tasks, so a worker with many rows
-    is not written by one task.
+    Rows of a worker are dealt over ``files`` parts, so a worker with many rows
+    is not written by one task. The input partition takes part in the deal, so
+    that copies of one row are dealt out too.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(files))
     (
         df.withColumn("_part", part)
         .repartition(tasks, worker, "_part")
