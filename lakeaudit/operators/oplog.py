@@ -66,9 +66,8 @@ def _throughput(log: DataFrame, by: str) -> DataFrame:
 
 def items_per_sec() -> Column:
     """items / (summed worker time in s / workers), as one division; NULL for no time."""
-    return F.try_divide(
-        (F.col("items") * F.col("workers") * 1000).cast("double"), F.col("elapsed").cast("double")
-    )
+    items = F.col("items").cast("double")
+    return F.try_divide(items * F.col("workers") * 1000, F.col("elapsed").cast("double"))
 
 
 def throughput(log: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def cpu_usage(log: DataFrame, cpu: str = "gc", wall: str = "elapsed") -> DataFra
         .agg(F.sum(cpu).alias("cpu"), F.sum(wall).alias("wall"))
         .withColumn(
             "usage_pct",
-            F.try_divide((F.col("cpu") * 100).cast("double"), F.col("wall").cast("double")),
+            F.try_divide(F.col("cpu").cast("double") * 100, F.col("wall").cast("double")),
         )
     )
 

@@ -182,7 +182,7 @@ def _time(col: str) -> str:
       when {col}>=1000 then {_decimals(col, 1000, s)} else cast({col} as varchar)||' {ms}' end"""
 
 
-_RATE = "cast(items*workers*1000 as double)/nullif(cast(elapsed as double),0)"
+_RATE = "cast(items as double)*workers*1000/nullif(cast(elapsed as double),0)"
 
 VIEWS["removable"] = (
     ["fx_entries"],
@@ -381,7 +381,7 @@ ORACLE: dict[str, str] = {
     ),
     "op_cpu_usage": with_views(
         ["fx_oplog"],
-        """select *, cast(cpu*100 as double)/nullif(cast(wall as double),0) as usage_pct from (
+        """select *, cast(cpu as double)*100/nullif(cast(wall as double),0) as usage_pct from (
           select op, cast(sum(gc) as bigint) as cpu, cast(sum(elapsed) as bigint) as wall
           from fx_oplog group by op)""",
     ),

@@ -40,7 +40,7 @@ def fanout(df: DataFrame, path: str, worker: str, files: int, max_records: int =
     that copies of one row are dealt out too.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(files))
+    part = F.pmod(F.pmod(F.xxhash64(*df.columns), F.lit(files)) + F.spark_partition_id(), F.lit(files))
     (
         df.withColumn("_part", part)
         .repartition(tasks, worker, "_part")
