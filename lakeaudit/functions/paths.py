@@ -46,6 +46,10 @@ def dfs_key(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("\u0000"))
 
 
+def from_dfs_key(key: Column) -> Column:
+    return F.replace(key, F.lit("\u0000"), F.lit("/"))
+
+
 def rel_path(path: Column, root: str) -> Column:
     """``path`` cut at the length of ``root``; a leading ``/`` stays."""
     return F.substring(path, len(root) + 1, 2**31 - 1)

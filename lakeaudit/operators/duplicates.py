@@ -13,15 +13,17 @@ from lakeaudit.session import cut_lineage
 MAX_BLOCKS = 20_000
 
 
-def _commands(path: Column, rep: Column) -> list[Column]:
+def _columns(path: Column, rep: Column) -> list[Column]:
     return [
+        path.alias("path"),
+        rep.alias("rep"),
         F.concat(F.lit("rm -rf "), path).alias("rm_cmd"),
         F.concat(F.lit("ln -s "), rep, F.lit(" "), path).alias("ln_cmd"),
     ]
 
 
 def _mark_runs(files: DataFrame) -> DataFrame:
-    """Runs of equal consecutive sizes within (name, _block), with their first path."""
+    """Runs of equal consecutive sizes within (name, _block); ``rep`` is a run's first key."""
     w = W.partitionBy("name", "_block").orderBy("_key")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     same = F.col("length").eqNullSafe(F.lag("length").over(w)) & (F.row_number().over(w) > 1)
@@ -29,7 +31,7 @@ def _mark_runs(files: DataFrame) -> DataFrame:
         files.withColumn("_row", F.row_number().over(w))
         .withColumn("_new", F.when(same, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(so_far))
-        .withColumn("rep", F.last(F.when(F.col("_new") == 1, F.col("path")), True).over(so_far))
+        .withColumn("rep", F.last(F.when(F.col("_new") == 1, F.col("_key")), True).over(so_far))
     )
 
 
@@ -63,21 +65,22 @@ def dup_files(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     of the same size is its duplicate, one of another size takes its place.
     That makes runs of equal consecutive sizes within a name.
 
-    A name with more than ``hot_rows`` files is cut into range-sorted blocks.
-    The block borders come from sampling, so these rows are checkpointed once
-    and every later step sees the same borders; runs that cross a border are
-    joined through a table of one row per block.
+    A name with more than ``hot_rows`` files is cut into range-sorted blocks,
+    and runs are found per block. The block borders come from sampling, so the
+    marked rows are checkpointed once and both later steps see the same borders:
+    runs that cross a border are joined through a table of one row per name and
+    block, at most MAX_BLOCKS + rows / hot_rows of them, which is broadcast.
     """
+    # The sort key stands for the path until the end, so only one of them is shuffled.
     files = entries.where(~F.col("is_dir")).select(
-        "path", "name", "length", paths.dfs_key(F.col("path")).alias("_key")
+        "name", "length", paths.dfs_key(F.col("path")).alias("_key")
     )
     hot = hot_keys(files, "name", hot_rows)
     # One row comes back: the number of blocks all hot names need together.
     wanted = hot.agg(F.sum("_parts")).first()[0]
     none = F.lit(None).cast("int")
     if not wanted:
-        marked = _mark_runs(files.withColumn("_block", none))
-        found = marked.where(F.col("_new") == 0)
+        found = _mark_runs(files.withColumn("_block", none)).where(F.col("_new") == 0)
     else:
         is_hot = F.col("name") == F.col("_hot_key")
         ranged = (
@@ -86,13 +89,15 @@ def dup_files(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             .repartitionByRange(max(2, min(int(wanted), MAX_BLOCKS)), "name", "_key")
             .withColumn("_block", F.spark_partition_id())
         )
-        blocked = cut_lineage(ranged)
-        cold = files.join(F.broadcast(hot), is_hot, "left_anti").withColumn("_block", none)
-        carry = _carry(_mark_runs(blocked))
-        found = (
-            _mark_runs(cold.unionByName(blocked))
-            .join(carry, ["name", "_block"], "left")
-            .where((F.col("_new") == 0) | ((F.col("_row") == 1) & F.col("_in_rep").isNotNull()))
-            .withColumn("rep", F.when(F.col("_run") == 1, F.coalesce("_in_rep", "rep")).otherwise(F.col("rep")))
+        marked = cut_lineage(_mark_runs(ranged))
+        rep = F.when(F.col("_run") == 1, F.coalesce("_in_rep", "rep")).otherwise(F.col("rep"))
+        split = (
+            marked.where((F.col("_new") == 0) | (F.col("_row") == 1))
+            .join(F.broadcast(_carry(marked)), ["name", "_block"], "left")
+            .where((F.col("_new") == 0) | F.col("_in_rep").isNotNull())
+            .withColumn("rep", rep)
         )
-    return found.select("path", "rep", *_commands(F.col("path"), F.col("rep")))
+        cold = files.join(F.broadcast(hot), is_hot, "left_anti").withColumn("_block", none)
+        plain = _mark_runs(cold).where(F.col("_new") == 0)
+        found = plain.select("_key", "rep").unionByName(split.select("_key", "rep"))
+    return found.select(*_columns(paths.from_dfs_key(F.col("_key")), paths.from_dfs_key(F.col("rep"))))

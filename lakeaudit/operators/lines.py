@@ -9,34 +9,46 @@ from pyspark.sql import functions as F
 from lakeaudit.functions.numbers import div
 from lakeaudit.operators.skew import HOT_ROWS
 
+# At most this many hits, a few MB of line numbers, are broadcast.
+FEW_HITS = 50_000
+
 
 def drop_comments(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("line").startswith("#"))
 
 
 def grep_context(
-    lines: DataFrame, pattern: str, after: int = 2, block_rows: int = HOT_ROWS
+    lines: DataFrame,
+    pattern: str,
+    after: int = 2,
+    block_rows: int = HOT_ROWS,
+    few_hits: int = FEW_HITS,
 ) -> DataFrame:
     """Lines that match, ignoring case, and the ``after`` lines behind each.
 
-    A file is cut into blocks of ``block_rows`` lines, each windowed on its own;
-    the last ``after`` lines of a block are repeated in front of the next one.
+    The hits are counted first. Up to ``few_hits`` of them, the line numbers
+    wanted are broadcast and no text is shuffled. Beyond that, a file is cut
+    into blocks of ``block_rows`` lines, each windowed on its own; the last
+    ``after`` lines of a block are repeated in front of the next one.
     """
     if block_rows < after:
         raise ValueError("block_rows must be at least the number of context lines")
-    block = div(F.col("line_no"), block_rows)
+    marked = lines.withColumn("is_match", F.col("line").rlike("(?i)" + pattern))
+    hits = marked.where("is_match")
+    if hits.count() <= few_hits:
+        reach = F.sequence(F.col("line_no"), F.col("line_no") + after)
+        wanted = hits.select("file", F.explode(reach).alias("line_no")).distinct()
+        found = marked.join(F.broadcast(wanted), ["file", "line_no"], "left_semi")
+        return found.select("file", "line_no", "line", "is_match")
+    home = div(F.col("line_no"), block_rows)
     near_end = F.pmod(F.col("line_no"), F.lit(block_rows)) >= block_rows - after
-    spread = lines.withColumn("_home", block).withColumn(
-        "_block",
-        F.explode(F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))),
-    )
+    blocks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
     w = W.partitionBy("file", "_block").orderBy("line_no").rangeBetween(-after, 0)
-    hit = F.col("line").rlike("(?i)" + pattern)
     return (
-        spread.withColumn("_hit", hit)
-        .withColumn("_near", F.max("_hit").over(w))
-        .where(F.col("_near") & (F.col("_block") == F.col("_home")))
-        .select("file", "line_no", "line", F.col("_hit").alias("is_match"))
+        marked.withColumn("_block", F.explode(blocks))
+        .withColumn("_near", F.max("is_match").over(w))
+        .where(F.col("_near") & (F.col("_block") == home))
+        .select("file", "line_no", "line", "is_match")
     )
 
 

@@ -75,11 +75,14 @@ def _scan(
     )
     carry = _scan(totals, keys, name, parts, True, width, depth - 1, split + [name])
     carry = carry.select(*keys, name, *parts)
-    df = df.join(carry, keys + [name], "left")
+    # Windows before the join: their order by (keys, block, pos) serves it too.
     for out, (kind, col) in aggs.items():
         here = _COMBINE[kind](col).over(_window(keys + [name], pos, exclusive))
-        df = df.withColumn(out, _merge(kind, here, F.col(f"_{depth}_{out}")))
-    return df.drop(name, *parts)
+        df = df.withColumn(f"_here_{out}", here)
+    df = df.join(carry, keys + [name], "left")
+    for out, (kind, _) in aggs.items():
+        df = df.withColumn(out, _merge(kind, F.col(f"_here_{out}"), F.col(f"_{depth}_{out}")))
+    return df.drop(name, *parts, *[f"_here_{out}" for out in aggs])
 
 
 def running(

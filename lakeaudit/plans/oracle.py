@@ -235,7 +235,7 @@ ORACLE: dict[str, str] = {
         ["fx_runs"],
         """select suite,phase,repeat_no,level,metric,value from (
           select *, max(repeat_no) over (partition by level) as last_repeat
-          from fx_runs where repeat_no<3 or level<=2000) where repeat_no=last_repeat""",
+          from fx_runs) where repeat_no=last_repeat""",
     ),
     "sink_fanout": with_views(["fx_runs"], "select * from fx_runs"),
     "gen_manifest": with_views(

@@ -38,8 +38,20 @@ _BATCH = 10_000
 _PLAN_CALLS = 2_000
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark itself would resolve it, with scheme and host."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in root or root.startswith("file:"):
+    scheme, _, rest = root.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri("s3:" + rest)
+    if "://" in root:
         return pafs.FileSystem.from_uri(root)
     return pafs.LocalFileSystem(), root
 
@@ -66,6 +78,13 @@ def _children(fs: pafs.FileSystem, base: str, rel: str) -> list[tuple] | None:
     return rows
 
 
+def _must_list(fs: pafs.FileSystem, base: str, rel: str) -> list[tuple]:
+    found = _children(fs, base, rel)
+    if found is None:
+        raise PermissionError(rel)
+    return found
+
+
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), _BATCH):
         columns = list(zip(*rows[at : at + _BATCH]))
@@ -80,9 +99,11 @@ def _root_row(fs: pafs.FileSystem, base: str) -> tuple:
     return ("", True, 0, info.mtime, True)
 
 
-class _SubTrees(InputPartition):
-    def __init__(self, dirs: list[str], rows: list[tuple]):
-        self.dirs, self.rows = dirs, rows
+class _Share(InputPartition):
+    """What one task lists: ``flat`` without going deeper, ``whole`` to the bottom."""
+
+    def __init__(self, flat: list[str], whole: list[str]):
+        self.flat, self.whole = flat, whole
 
 
 class ListingReader(DataSourceReader):
@@ -90,31 +111,32 @@ class ListingReader(DataSourceReader):
         self.root, self.tasks = root, tasks
 
     def partitions(self) -> list[InputPartition]:
-        """Widen the tree breadth-first until there is a sub-tree for every task."""
+        """Widen the tree breadth-first until there is a sub-tree for every task.
+
+        Only directory names are kept. The tasks list the directories again, so
+        no files pass through the driver.
+        """
         fs, base = _open(self.root)
-        rows, open_dirs, calls = [_root_row(fs, base)], deque([""]), 0
-        while open_dirs and len(open_dirs) < self.tasks and calls < _PLAN_CALLS:
-            rel = open_dirs.popleft()
-            calls += 1
-            found = _children(fs, base, rel)
-            if found is None:
-                raise PermissionError(rel)
-            rows += found
-            open_dirs.extend(r[0] for r in found if r[1])
-        groups: list[list[str]] = [[] for _ in range(min(self.tasks, len(open_dirs)))]
-        for i, rel in enumerate(open_dirs):
-            groups[i % len(groups)].append(rel)
-        return [_SubTrees([], rows)] + [_SubTrees(g, []) for g in groups]
-
-    def read(self, partition: _SubTrees) -> Iterator[pa.RecordBatch]:
+        _root_row(fs, base)
+        opened: list[str] = []
+        waiting = deque([""])
+        while waiting and len(waiting) < self.tasks and len(opened) < _PLAN_CALLS:
+            rel = waiting.popleft()
+            opened.append(rel)
+            waiting.extend(r[0] for r in _must_list(fs, base, rel) if r[1])
+        n = max(1, min(self.tasks, max(len(opened), len(waiting))))
+        whole = list(waiting)
+        return [_Share(opened[i::n], whole[i::n]) for i in range(n)]
+
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
         fs, base = _open(self.root)
-        yield from _batches(partition.rows)
-        stack = list(partition.dirs)
+        if "" in partition.flat + partition.whole:
+            yield from _batches([_root_row(fs, base)])
+        for rel in partition.flat:
+            yield from _batches(_must_list(fs, base, rel))
+        stack = list(partition.whole)
         while stack:
-            rel = stack.pop()
-            found = _children(fs, base, rel)
-            if found is None:
-                raise PermissionError(rel)
+            found = _must_list(fs, base, stack.pop())
             stack.extend(r[0] for r in found if r[1])
             yield from _batches(found)
 
@@ -141,7 +163,8 @@ def with_names(entries: DataFrame) -> DataFrame:
 
 def fs_listing(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
     spark.dataSource.register(ListingSource)
-    return with_names(spark.read.format("fs_listing").option("tasks", tasks).load(root))
+    source = spark.read.format("fs_listing").option("tasks", tasks)
+    return with_names(source.load(_qualified(spark, root)))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -149,6 +172,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
     A directory that may not be read stays, with ``listed`` false.
     """
+    root = _qualified(spark, root)
     fs, base = _open(root)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = new_path(spark, "listing")
@@ -198,6 +222,7 @@ def read_lengths(spark: SparkSession, root: str, manifest: DataFrame) -> DataFra
     one open-ended, so a large file is read by many tasks and none is held in
     memory. A missing file gives a NULL length.
     """
+    root = _qualified(spark, root)
     schema = "path string, expected_length bigint, length bigint"
     arrow = pa.schema([("path", pa.string()), ("expected_length", pa.int64()), ("length", pa.int64())])
 

@@ -68,11 +68,12 @@ def test_ranked_null_key(facts, hot_rows):
 
 @pytest.mark.parametrize("block_rows", [2, 7, 1_000_000])
 @pytest.mark.parametrize("after", [0, 1, 2])
-def test_grep_context(spark, block_rows, after):
+@pytest.mark.parametrize("few_hits", [0, 1_000_000])
+def test_grep_context(spark, block_rows, after, few_hits):
     rng = random.Random(3)
     rows = [(f, i, rng.choice(["Hit me", "x", "y", "z"])) for f in "ab" for i in range(1, 60)]
     df = spark.createDataFrame(rows, "file string, line_no bigint, line string")
-    got = {(r.file, r.line_no) for r in lines.grep_context(df, "hit", after, block_rows).collect()}
+    got = {(r.file, r.line_no) for r in lines.grep_context(df, "hit", after, block_rows, few_hits).collect()}
     text = {(f, i): t for f, i, t in rows}
     want = {(f, i) for f, i, _ in rows
             if any("Hit" in text.get((f, j), "") for j in range(i - after, i + 1))}

@@ -41,6 +41,12 @@ def test_list_tree(spark, tree):
     assert all(r.listed for r in rows)
 
 
+def test_roots(spark, tree):
+    assert listing._qualified(spark, tree).startswith("file:/")
+    for root in (tree, "file:" + tree, "file://" + tree):
+        assert listing._open(root)[1] == tree
+
+
 def test_a_directory_that_vanishes_is_skipped(tree):
     fs, base = listing._open(tree)
     assert listing._children(fs, base, "no/such") == []
