@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,11 +51,13 @@ def kv_dump_lines(kv: DataFrame) -> DataFrame:
     return kv.select(text.alias("line"))
 
 
-def map_kv(
-    kv: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType | str
-) -> DataFrame:
-    """Run the caller's function over Arrow batches of pairs, on the executors."""
-    return kv.select("key", "value").mapInPandas(fn, schema)
+def map_kv(kv: DataFrame, fn: Callable[[Iterator], Iterator], schema: StructType | str, arrow: bool = False) -> DataFrame:
+    """Run the caller's function over batches of pairs, on the executors.
+
+    It takes and gives pandas frames, or with ``arrow`` record batches.
+    """
+    pairs = kv.select("key", "value")
+    return pairs.mapInArrow(fn, schema) if arrow else pairs.mapInPandas(fn, schema)
 
 
 def seek_desc(entities: DataFrame, ts: Column, limit: int | None = None) -> DataFrame:

@@ -23,17 +23,18 @@ def grep_context(
     after: int = 2,
     block_rows: int = HOT_ROWS,
     few_hits: int = FEW_HITS,
+    ignore_case: bool = True,
 ) -> DataFrame:
-    """Lines that match, ignoring case, and the ``after`` lines behind each.
+    """Lines that match, and the ``after`` lines behind each.
 
     The hits are counted first. Up to ``few_hits`` of them, the line numbers
     wanted are broadcast and no text is shuffled. Beyond that, a file is cut
     into blocks of ``block_rows`` lines, each windowed on its own; the last
     ``after`` lines of a block are repeated in front of the next one.
     """
-    if block_rows < after:
+    if block_rows < max(after, 1):
         raise ValueError("block_rows must be at least the number of context lines")
-    marked = lines.withColumn("is_match", F.col("line").rlike("(?i)" + pattern))
+    marked = lines.withColumn("is_match", F.col("line").rlike(("(?i)" if ignore_case else "") + pattern))
     hits = marked.where("is_match")
     if hits.count() <= few_hits:
         reach = F.sequence(F.col("line_no"), F.col("line_no") + after)

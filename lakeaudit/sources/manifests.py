@@ -47,33 +47,56 @@ def gen_manifest(layouts: DataFrame) -> DataFrame:
     return _expand(total, "_total", "_i").select(path.alias("path"))
 
 
-def gen_tree_manifest(layouts: DataFrame) -> DataFrame:
-    """(path) for a fan-out per level; layouts have thread, dirs_per_level and files.
+def _product(values: Column) -> Column:
+    return F.aggregate(values, F.lit(1).cast("bigint"), lambda acc, x: acc * x)
 
-    ``dirs_per_level`` is an int array. All level numbers of a file follow from
-    its position by division, so no level is joined to the next.
-    """
-    one = F.lit(1).cast("bigint")
-    dims = F.transform("dirs_per_level", lambda d: d.cast("bigint"))
 
-    def product(values: Column) -> Column:
-        return F.aggregate(values, one, lambda acc, x: acc * x)
+def _tree(layouts: DataFrame, dir_label: str) -> DataFrame:
+    """(dir, _file): every leaf directory, repeated for each of its ``files``.
 
+    All level numbers follow from the position of a row by division, so no
+    level is joined to the next.
+    """
     below = F.transform(
-        "_dims", lambda _, j: product(F.slice(F.col("_dims"), j + 2, F.size("_dims")))
+        "_dims", lambda _, j: _product(F.slice(F.col("_dims"), j + 2, F.size("_dims")))
     )
     sized = (
-        layouts.withColumn("_dims", dims)
+        layouts.withColumn("_dims", F.col("dirs_per_level").cast("array<bigint>"))
         .withColumn("_below", below)
-        .withColumn("_total", product(F.col("_dims")) * F.col("files"))
+        .withColumn("_total", _product(F.col("_dims")) * F.col("files"))
         .select("thread", "files", "_dims", "_below", "_total")
     )
     leaf = div(F.col("_i"), F.col("files"))
-    levels = F.zip_with("_dims", "_below", lambda d, b: _numbered("d", div(leaf, b) % d))
-    path = F.concat_ws(
-        "/",
-        _numbered("d", F.col("thread")),
-        levels,
-        _numbered("f", F.col("_i") % F.col("files")),
+    levels = F.zip_with("_dims", "_below", lambda d, b: _numbered(dir_label, div(leaf, b) % d))
+    return _expand(sized, "_total", "_i").select(
+        F.concat_ws("/", _numbered("d", F.col("thread")), levels).alias("dir"),
+        (F.col("_i") % F.col("files")).alias("_file"),
+    )
+
+
+def gen_tree_manifest(
+    layouts: DataFrame, dir_label: str = "d", file_label: str = "f", suffixes: tuple[str, ...] = ("",)
+) -> DataFrame:
+    """(path) of every file for a fan-out per level.
+
+    Layouts have thread, dirs_per_level (int array) and files per leaf. With
+    ``file_label="blk_"`` and ``suffixes=("", ".meta")`` each file is a pair.
+    """
+    path = F.concat_ws("/", "dir", _numbered(file_label, F.col("_file")))
+    rows = _tree(layouts, dir_label).select(path.alias("path"))
+    if suffixes == ("",):
+        return rows
+    ends = F.explode(F.array(*map(F.lit, suffixes)))
+    return rows.withColumn("_end", ends).select(F.concat("path", "_end").alias("path"))
+
+
+def gen_dir_manifest(layouts: DataFrame, dir_label: str = "d") -> DataFrame:
+    """(path) of every directory on every level below each thread's own."""
+    upto = F.explode(F.sequence(F.lit(1), F.size("dirs_per_level")))
+    cut = (
+        layouts.where(F.size("dirs_per_level") > 0)
+        .withColumn("_level", upto)
+        .withColumn("dirs_per_level", F.expr("slice(dirs_per_level, 1, _level)"))
+        .withColumn("files", F.lit(1).cast("bigint"))
     )
-    return _expand(sized, "_total", "_i").select(path.alias("path"))
+    return _tree(cut, dir_label).select(F.col("dir").alias("path"))

@@ -54,7 +54,18 @@ def test_map_kv(pairs):
         for pdf in batches:
             yield pdf.assign(n=pdf["key"].map(len))[["n"]]
 
-    assert sorted(r.n for r in kv.map_kv(pairs, lengths, "n bigint").collect()) == sorted(len(k) for k, _ in PAIRS)
+    want = sorted(len(k) for k, _ in PAIRS)
+    assert sorted(r.n for r in kv.map_kv(pairs, lengths, "n bigint").collect()) == want
+
+    def in_arrow(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            n = pc.binary_length(batch.column(0)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([n], names=["n"])
+
+    assert sorted(r.n for r in kv.map_kv(pairs, in_arrow, "n bigint", arrow=True).collect()) == want
 
 
 @pytest.fixture(scope="module")

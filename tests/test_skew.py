@@ -80,6 +80,11 @@ def test_grep_context(spark, block_rows, after, few_hits):
     assert got == want
 
 
+def test_grep_case(spark):
+    df = spark.createDataFrame([("a", 1, "Hit"), ("a", 2, "hit")], "file string, line_no bigint, line string")
+    assert [r.line_no for r in lines.grep_context(df, "hit", 0, ignore_case=False).collect()] == [2]
+
+
 def test_grep_context_needs_room(spark):
     with pytest.raises(ValueError):
         lines.grep_context(spark.createDataFrame([("a", 1, "x")], "file string, line_no bigint, line string"), "x", 2, 1)

@@ -103,6 +103,15 @@ def test_manifests(spark, monkeypatch, block):
     assert got == sorted(want)
 
 
+def test_manifest_forms(spark):
+    tree = spark.createDataFrame([(3, [2, 1], 1), (4, [], 1)], "thread bigint, dirs_per_level array<int>, files bigint")
+    pairs = manifests.gen_tree_manifest(tree.where("thread = 3"), "subdir", "blk_", ("", ".meta"))
+    assert sorted(r.path for r in pairs.collect()) == [
+        f"d3/subdir{a}/subdir0/blk_0{end}" for a in range(2) for end in ("", ".meta")]
+    dirs = sorted(r.path for r in manifests.gen_dir_manifest(tree).collect())
+    assert dirs == ["d3/d0", "d3/d0/d0", "d3/d1", "d3/d1/d0"]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 2).alias("worker"), "id")
     path = str(tmp_path / "fanout")
