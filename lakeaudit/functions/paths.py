@@ -28,11 +28,10 @@ def depth_of(path: Column) -> Column:
 
 def ancestors_of(path: Column) -> Column:
     """Every proper ancestor from the root down; empty for the root."""
-    segments = F.split(path, "/")
     return F.when(path == "", F.array().cast("array<string>")).otherwise(
         F.transform(
-            F.sequence(F.lit(0), F.size(segments) - 1),
-            lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/"),
+            F.sequence(F.lit(0), depth_of(path) - 1),
+            lambda i: F.call_function("substring_index", path, F.lit("/"), i),
         )
     )
 

@@ -17,7 +17,7 @@ def tail_n(records: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The last ``n`` records of each file, with their rank from the end."""
     if n <= GROUP_LIMIT:
         w = W.partitionBy("file").orderBy(F.desc("pos"))
-        numbered = records.withColumn("from_end", F.row_number().over(w))
+        numbered = records.withColumn("from_end", F.row_number().over(w).cast("bigint"))
     else:
         back = records.withColumn("_back", -F.col("pos"))
         numbered = ranked(back, ["file"], "_back", "from_end", hot_rows).drop("_back")

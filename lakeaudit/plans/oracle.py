@@ -488,7 +488,7 @@ ORACLE: dict[str, str] = {
     ),
     "path_parts": with_views(
         ["fx_entries"],
-        """select path, parent, name, case when path='' then 0 else len(s) end as depth,
+        """select path, parent, name, cast(case when path='' then 0 else len(s) end as int) as depth,
           array_to_string(s,'|') as segments,
           case when path='' then '' else array_to_string(list_transform(range(0,len(s)),
             lambda i: array_to_string(s[1:i],'/')),'|') end as ancestors
