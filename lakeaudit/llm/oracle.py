@@ -16,23 +16,23 @@ with turns as (
     union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
     union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized as (
-  select *, row_number() over w as at, count(*) over (partition by conv_id) as n,
+  select *, row_number() over w as pos, count(*) over (partition by conv_id) as n,
     {len(START) + 1 + len(END)} + length(r) + length({_ESCAPED}) as size
   from turns window w as (partition by conv_id order by turn, r, t)),
 ended as (
-  select *, sum(size) over (partition by conv_id order by at) as upto from sized)
+  select *, sum(size) over (partition by conv_id order by pos) as upto from sized)
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(r || chr(10) || t || chr(10), '' order by at)) as turns_sha256,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by pos)) as turns_sha256,
   coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(t, '' order by at) filter (r = 'assistant'), '')) as loss_sha256,
-  (sum(upto) filter (r = 'assistant' or at = n))::bigint as formatted_chars
+  sha256(coalesce(string_agg(t, '' order by pos) filter (r = 'assistant'), '')) as loss_sha256,
+  (sum(upto) filter (r = 'assistant' or pos = n))::bigint as formatted_chars
 from ended group by conv_id
 """
 
 _TOPK = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
@@ -40,14 +40,14 @@ select query_id, (row_number() over (partition by query_id order by score desc,
 from scored qualify rank <= 5
 """
 
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
 def _shingles(table: str, key: str) -> str:
     """Distinct five-word shingles of a table's texts; of fewer words, the one of all."""
     return f"""select distinct {key}, sh from (
     select {key}, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-      else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as sh
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as sh
     from (select {key}, {_WORDS} as w from {table}))"""
 
 

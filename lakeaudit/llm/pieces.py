@@ -20,7 +20,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that some library counts as blank, Latin letters, ASCII marks without the apostrophe.
-_BLANK = r"\t-\r\x1c-\x20\x85\xa0 ᠎ -​    　﻿"
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0" + "".join(
+    map(chr, (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+)
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _MARK = r"!-&(-/:-@\[-`{-~"
 CUT = rf"(?<=[^{_BLANK}])(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[{_MARK}])"
