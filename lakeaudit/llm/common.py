@@ -130,17 +130,25 @@ def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def parted(df: DataFrame, hashed: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose hash may be among ``keys``, and the rows that are certainly not: only the first need a shuffle."""
+    bits = F.broadcast(bit_words(keys, column))
+    names = [F.col(f"`{n}`") for n in df.columns]
+    rows = df.select(F.struct(*names).alias("row"), F.pmod(hashed, F.lit(BIT_WORDS * 64)).alias("spot"))
+    rows = rows.join(bits, F.shiftright("spot", 6).cast("int") == F.col("word"), "left")
+    maybe = F.expr("coalesce(shiftright(bits, cast(spot & 63 as int)) & 1, 0) = 1")
+    return rows.where(maybe).select("row.*"), rows.where(~maybe).select("row.*")
+
+
 def maybe_in(df: DataFrame, hashed: Column, keys: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose hash may be among ``keys``: a cheap cut before a shuffled join.
 
     The broadcast bit set has at most ``BIT_WORDS`` rows of 16 bytes (2 MB).
     """
-    bits = F.broadcast(bit_words(keys, column))
-    spot = F.pmod(hashed, F.lit(BIT_WORDS * 64))
-    names = df.columns
-    return (
-        df.withColumn("_spot", spot)
-        .join(bits, F.shiftright("_spot", 6).cast("int") == F.col("word"))
-        .where(F.expr("shiftright(bits, cast(_spot & 63 as int)) & 1") == 1)
-        .select(*[F.col(f"`{n}`") for n in names])
-    )
+    return parted(df, hashed, keys, column)[0]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids`` (doc_id); rows of null id stay."""
+    maybe, rest = parted(docs, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("k")), "k")
+    return rest.unionByName(maybe.join(ids.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns]))

@@ -203,6 +203,17 @@ def _scorer(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def select(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text ``grade`` would keep."""
+    if not len(model.thresholds):
+        return docs
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kind = docs.select(whole.alias("row")).schema["row"].dataType.simpleString()
+    rows = docs.select(whole.alias("row"), _parts(F.col("text")).alias("parts"))
+    rows = rows.mapInArrow(_scorer(model), f"row {kind}, expected_grade double, p_top double")
+    return rows.where(F.col("p_top") >= least).select("row.*")
+
+
 def grade(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_top (that the grade is the highest) and keep, for each row of ``docs``.
 

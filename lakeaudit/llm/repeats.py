@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import BIT_WORDS, bit_array, bit_words, in_bits, list_column, mix, small_batches, stored
+from lakeaudit.llm.common import bit_array, in_bits, list_column, mix, parted, small_batches, stored
 from lakeaudit.llm.induced import IN_MEMORY, suffix_array
 from lakeaudit.session import new_path
 
@@ -253,16 +254,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     covered = stored(covered, "repeat-covered")
 
     # only texts that may have something to remove are shuffled
-    spot = F.pmod(F.xxhash64("doc_id", "h"), F.lit(BIT_WORDS * 64))
-    some = F.broadcast(bit_words(covered.select(F.xxhash64("c_id", "c_h").alias("k")), "k"))
-    marked = own.withColumn("spot", spot).join(some, F.shiftright("spot", 6).cast("int") == F.col("word"), "left")
-    maybe = F.expr("coalesce(shiftright(bits, cast(spot & 63 as int)) & 1, 0) = 1")
-    marked = marked.select("doc_id", "h", "data", maybe.alias("maybe"))
+    maybe, rest = parted(own, F.xxhash64("doc_id", "h"), covered.select(F.xxhash64("c_id", "c_h").alias("k")), "k")
     none = F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")
-    hit = marked.where("maybe").join(covered, (F.col("h") == F.col("c_h")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
-    rows = hit.select("doc_id", "h", "data", "places").unionByName(
-        marked.where(~F.col("maybe")).select("doc_id", "h", "data", none.alias("places"))
-    )
+    hit = maybe.join(covered, (F.col("h") == F.col("c_h")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    rows = hit.select("doc_id", "h", "data", "places").unionByName(rest.withColumn("places", none))
     return rows.mapInArrow(
         _cut, f"doc_id {kind}, h long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
@@ -277,3 +272,17 @@ def digest(removed: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"),
     )
+
+
+def as_text(column: str) -> Column:
+    """The whole characters of a binary column of UTF-8, without those cut in two.
+
+    Only the bytes behind a cut can be continuations without a start, and only those
+    before it starts without an end; both are left out.
+    """
+    return _text(F.col(column))
+
+
+@F.pandas_udf("string")
+def _text(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else bytes(d).decode("utf-8", "ignore"))
