@@ -1,8 +1,8 @@
 """External induced sorting of the suffixes of one shard.
 
 Suffixes are of type S (smaller than the next one) or L. The S suffixes behind an L
-suffix are sorted by their substrings up to the next such one, named, and the string
-of names is sorted by recursion. From their order all L suffixes are induced in
+suffix are sorted as tuples of their characters up to the next such one, named, and
+the string of names is sorted by recursion. From their order all L suffixes are induced in
 ascending, then all S suffixes in descending order: whoever leaves the priority queue
 puts the position before it in.
 
@@ -59,13 +59,13 @@ class Queue:
         for p in self.parts[r]:
             if isinstance(p, str):
                 with self.place[0].open_input_stream(p) as f:
-                    out.append(np.frombuffer(f.read(), np.int64))
+                    out.append(np.frombuffer(f.read(), np.int32))
                 self.place[0].delete_file(p)
             else:
                 out.append(p)
                 self.held -= len(p)
         self.parts[r] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def close(self) -> None:
         if self.place is not None:
@@ -74,7 +74,8 @@ class Queue:
 
 def _induced(text: np.ndarray, size: int, wanted: np.ndarray, seeds: np.ndarray, folder: str, most: int) -> np.ndarray:
     """The ``wanted`` positions in order, from ``seeds`` in order; text holds numbers below ``size``."""
-    shift = max(0, int(size - 1).bit_length() - _RANGES.bit_length() + 1)
+    most_ranges = min(_RANGES, max(16, len(text) // 2_000))
+    shift = max(0, int(size - 1).bit_length() - most_ranges.bit_length() + 1)
     ranges = ((size - 1) >> shift) + 1
     queue = Queue(ranges, folder, most)
     seed_cuts = np.searchsorted(text[seeds] >> shift, np.arange(ranges + 1))
@@ -101,58 +102,71 @@ def _induced(text: np.ndarray, size: int, wanted: np.ndarray, seeds: np.ndarray,
             order = np.argsort(key, kind="stable")
             at, key = at[order], key[order]
     queue.close()
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each star substring of ``order`` differs from the one before it."""
-    length = np.zeros(len(text), np.int64)
-    length[stars[:-1]] = np.diff(stars) + 1
-    a, b = order[:-1], order[1:]
-    differs = length[a] != length[b]
-    open_ = np.flatnonzero(~differs)
-    step = 0
-    while len(open_):
-        open_ = open_[length[a[open_]] > step]
-        unlike = text[a[open_] + step] != text[b[open_] + step]
-        differs[open_[unlike]] = True
-        open_ = open_[~unlike]
-        step += 1
-    return np.concatenate(([True], differs))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
+def _sorted_stars(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars in the order of their substrings up to the next star, and which differ from the one before.
+
+    A character counts together with its type, L first; so no substring begins another one,
+    and as many characters as fit into a 64-bit tuple are compared at a time.
+    """
+    bits = int(2 * text.max() + 2).bit_length()
+    each = 62 // bits
+    length = np.append(np.diff(stars) + 1, 1)
+
+    def tuples(which: np.ndarray, word: int) -> np.ndarray:
+        out = np.zeros(len(which), np.int64)
+        for k in range(word * each, (word + 1) * each):
+            at = np.minimum(stars[which] + k, len(text) - 1)
+            out = (out << bits) | np.where(k < length[which], 2 * text[at].astype(np.int64) + is_s[at] + 1, 0)
+        return out
+
+    everyone = np.arange(len(stars))
+    first = tuples(everyone, 0)
+    order = np.argsort(first)
+    new = np.append(True, np.diff(first[order]) != 0)
+    rank = np.empty(len(stars), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, everyone, 0))
+    word = 0
+    while True:
+        word += 1
+        open_ = np.flatnonzero((length > word * each) & (np.bincount(rank, minlength=len(stars))[rank] > 1))
+        if not len(open_):
+            break
+        value = tuples(open_, word)
+        order = np.lexsort((value, rank[open_]))
+        open_, value = open_[order], value[order]
+        here = np.arange(len(open_))
+        group = np.append(True, np.diff(rank[open_]) != 0)
+        part = group | np.append(True, np.diff(value) != 0)
+        rank[open_] += np.maximum.accumulate(np.where(part, here, 0)) - np.maximum.accumulate(np.where(group, here, 0))
+    order = np.argsort(rank, kind="stable")
+    return stars[order], np.append(True, np.diff(rank[order]) != 0)
 
 
 def suffix_array(text: np.ndarray, folder: str, most: int = IN_MEMORY) -> np.ndarray:
     """Positions of ``text`` in the order of their suffixes.
 
-    ``text`` is of 64-bit numbers from 0, of which the last is the only 0. ``folder``
+    ``text`` is of 32-bit numbers from 0, of which the last is the only 0. ``folder``
     is where queues keep what exceeds ``most`` tuples in memory.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     size = int(text.max()) + 1
-    at = np.arange(n - 1)
+    at = np.arange(n - 1, dtype=np.int32)
     unlike = text[:-1] != text[1:]
     step = np.minimum.accumulate(np.where(unlike, at, n)[::-1])[::-1]
     is_s = np.append(text[step] < text[step + 1], True)
-    stars = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    mirrored = size - 1 - text
-
-    def both(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        large = _induced(text, size, ~is_s, seeds, folder, most)
-        small = _induced(mirrored, size, is_s, large[::-1], folder, most)[::-1]
-        return large, np.concatenate(([n - 1], small))
-
-    small = both(stars[np.argsort(text[stars], kind="stable")])[1]
-    star = np.zeros(n, bool)
-    star[stars] = True
-    order = small[star[small]]
-    new = _names(text, stars, order)
-    name = np.cumsum(new) - 1
+    stars = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
+    del at, unlike, step
+    order, new = _sorted_stars(text, is_s, stars)
     if not new.all():
-        named = np.zeros(n, np.int64)
-        named[order] = name
+        named = np.zeros(n, np.int32)
+        named[order] = np.cumsum(new) - 1
         order = stars[suffix_array(named[stars], folder, most)]
-    large, small = both(order)
-    everything = np.concatenate((large, small))
+    large = _induced(text, size, ~is_s, order, folder, most)
+    small = _induced(size - 1 - text, size, is_s, large[::-1], folder, most)[::-1]
+    everything = np.concatenate((large, np.array([n - 1], np.int32), small))
     return everything[np.argsort(2 * text[everything] + is_s[everything], kind="stable")]

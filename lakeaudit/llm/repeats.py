@@ -4,8 +4,9 @@
    bytes, the same wherever the string stands. Strings of one anchor that follow one
    another in a text are a segment. Only segments whose anchor occurs twice matter.
 2. Equal segments become one. A segment that occurs twice is repeated as a whole.
-3. Different segments of one anchor go to one shard; the shard's suffixes are put in
-   order by external induced sorting, where equal strings are neighbours.
+3. Different segments of one anchor go to one shard, but for those that agree with no
+   other in the half string on either side of it; the shard's suffixes are put in order
+   by external induced sorting, where equal strings are neighbours.
 4. What is repeated goes back to the places of its segment, places are merged for each
    text and cut out.
 
@@ -15,6 +16,7 @@ every place of a string is in one segment only, so a string never matches itself
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +25,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakeaudit.llm.common import bit_array, in_bits, list_column, mix, parted, small_batches, stored
 from lakeaudit.llm.induced import IN_MEMORY, suffix_array
 from lakeaudit.session import new_path
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128
 #: Bytes of a text batch, of a shard's text (a group that is larger is a shard of its own), words of the anchors' bit set.
 BATCH = 1 << 20
-SHARD = 1 << 21
+SHARD = 1 << 22
 ANCHOR_BITS = 1 << 19
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LOW = np.uint64(0xFFFFFFFF)
 
 
 def _segments(column: pa.Array, length: int):
-    """Segments of a batch of byte strings: row, start in the row, bytes, anchor hash; and the joined bytes and row starts."""
+    """Segments of a batch of byte strings: row, start in the row, bytes, the anchor's place in it and hash; and the joined bytes and row starts."""
     data = column.to_pylist()
     sizes = np.array([len(d or b"") for d in data], np.int64)
     joined = np.frombuffer(b"".join(d or b"" for d in data), np.uint8)
@@ -47,7 +50,7 @@ def _segments(column: pa.Array, length: int):
     window = length - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(joined) < length:
-        return none, none, none, np.zeros(0, np.uint64), joined, begins
+        return none, none, none, none, np.zeros(0, np.uint64), joined, begins
     gram, width = _BYTE[joined], 1
     while width < GRAM:
         gram = gram[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + gram[width:]
@@ -65,20 +68,20 @@ def _segments(column: pa.Array, length: int):
     fits = np.arange(places) + length <= (begins + sizes)[row]
     at = np.flatnonzero(fits)
     if not len(at):
-        return none, none, none, np.zeros(0, np.uint64), joined, begins
+        return none, none, none, none, np.zeros(0, np.uint64), joined, begins
     first = np.ones(len(at), bool)
     first[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
     heads = np.flatnonzero(first)
     start = at[heads]
     last = at[np.append(heads[1:], len(at)) - 1]
-    return row[start], start - begins[row[start]], last + length - start, gram[anchor[start]], joined, begins
+    return row[start], start - begins[row[start]], last + length - start, anchor[start] - start, gram[anchor[start]], joined, begins
 
 
 def _anchor_counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(iter([batch]), "data", BATCH):
-                found, n = np.unique(_segments(part.column("data"), length)[3], return_counts=True)
+                found, n = np.unique(_segments(part.column("data"), length)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
     return run
@@ -90,7 +93,7 @@ def _places(length: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(iter([batch]), "data", BATCH):
-                row, start, size, anchor, joined, begins = _segments(part.column("data"), length)
+                row, start, size, inside, anchor, joined, begins = _segments(part.column("data"), length)
                 maybe = np.flatnonzero(in_bits(bits.value, anchor)) if len(anchor) else []
                 starts: dict = {}
                 content: dict = {}
@@ -98,7 +101,7 @@ def _places(length: int, bits):
                     lo = begins[row[i]] + start[i]
                     piece = joined[lo : lo + size[i]].tobytes()
                     name = xxhash.xxh3_128_digest(piece)
-                    key = (anchor[i], name)
+                    key = (anchor[i], name, inside[i])
                     starts.setdefault((row[i], key), []).append(start[i])
                     content.setdefault(key, piece)
                 if starts:
@@ -112,10 +115,10 @@ def _places(length: int, bits):
                             pa.array(np.array([k[0] for k in keys], np.uint64).view(np.int64)),
                             pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()),
                             list_column(np.concatenate([np.array(s, np.int64) for s in starts.values()]), np.array([len(s) for s in starts.values()]), pa.int64()),
-                            pa.array([len(content[k]) for k in keys], pa.int32()),
+                            pa.array([len(content[k]) for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()),
                             pa.array([content[k] if first[k] == i else None for i, k in enumerate(keys)], pa.binary()),
                         ],
-                        ["doc_id", "h", "anchor", "n1", "n2", "starts", "size", "content"],
+                        ["doc_id", "h", "anchor", "n1", "n2", "starts", "size", "inside", "content"],
                     )
 
     return run
@@ -123,11 +126,11 @@ def _places(length: int, bits):
 
 def repeated(contents: list[bytes], length: int, folder: str, most: int) -> list[np.ndarray]:
     """Of each of some byte strings the starts of ``length`` bytes that also start elsewhere in them."""
-    text = np.ones(sum(map(len, contents)) + len(contents) + 1, np.int64)
+    text = np.ones(sum(map(len, contents)) + len(contents) + 1, np.int32)
     fits = np.zeros(len(text), bool)
     lo, starts = 0, []
     for c in contents:
-        text[lo : lo + len(c)] = np.frombuffer(c, np.uint8).astype(np.int64) + 2
+        text[lo : lo + len(c)] = np.frombuffer(c, np.uint8).astype(np.int32) + 2
         fits[lo : lo + max(len(c) - length + 1, 0)] = True
         starts.append(lo)
         lo += len(c) + 1
@@ -139,7 +142,7 @@ def repeated(contents: list[bytes], length: int, folder: str, most: int) -> list
     for odd in (0xD1342543DE82EF95, 0xA0761D6478BD642F):
         power = np.cumprod(np.full(len(text), np.uint64(odd)))
         back = np.cumprod(np.full(len(text), np.uint64(pow(odd, -1, 2**64))))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(text.view(np.uint64) + np.uint64(odd)) * power)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(np.arange(258, dtype=np.uint64) + np.uint64(odd))[text] * power)))
         value = (sums[order + length] - sums[order]) * back[order]
         alike &= value[1:] == value[:-1]
     flag = np.zeros(len(text), bool)
@@ -151,6 +154,19 @@ def repeated(contents: list[bytes], length: int, folder: str, most: int) -> list
 def _shards(length: int, folder: str, most: int, shard: int):
     """(anchor, n1, n2, runs): of the segments of anchors with several, what is repeated, as starts and ends in turn."""
 
+    half = (length - GRAM) // 2
+
+    def alike(group: list[tuple]) -> list[tuple]:
+        """Segments that agree with another one in the half string left or right of the anchor, as every common string does."""
+        if len(group) < 2:
+            return []
+        sides = [
+            (at >= half and ("l", piece[at - half : at]), len(piece) >= at + GRAM + half and ("r", piece[at + GRAM : at + GRAM + half]))
+            for _, _, _, piece, at in group
+        ]
+        count = Counter(s for pair in sides for s in pair if s)
+        return [g for g, pair in zip(group, sides) if any(s and count[s] > 1 for s in pair)]
+
     def sorted_out(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated([r[3] for r in rows], length, folder, most)
         runs = []
@@ -169,17 +185,17 @@ def _shards(length: int, folder: str, most: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, group, size = [], [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "n1", "n2", "content"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "n1", "n2", "content", "inside"))):
                 if group and row[0] != group[0][0]:
-                    if len(group) > 1:
-                        rows += group
-                        size += sum(len(g[3]) for g in group)
+                    group = alike(group)
+                    rows += group
+                    size += sum(len(g[3]) for g in group)
                     group = []
                     if size >= shard:
                         yield sorted_out(rows)
                         rows, size = [], 0
                 group.append(row)
-        rows += group if len(group) > 1 else []
+        rows += alike(group)
         if rows:
             yield sorted_out(rows)
 
@@ -212,7 +228,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY, shard: int = SHARD) -> DataFrame:
     """doc_id, h, n_bytes, spans, kept of every row of ``docs`` (doc_id, text).
 
-    Texts are UTF-8 bytes. Every byte covered by a string of ``length`` bytes (64 or more)
+    Texts are UTF-8 bytes. Every byte covered by a string of ``length`` bytes (at least GRAM + 2)
     that also starts anywhere else, in the same or another row, is removed; strings are
     judged on the input. ``spans`` are the maximal removed runs, ``kept`` the bytes left
     (which may begin or end inside a character), ``h`` a hash of the text. A null text is
@@ -229,12 +245,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     bits = spark.sparkContext.broadcast(bit_array(twice, "anchor", ANCHOR_BITS))
     places = enough.mapInArrow(
         _places(length, bits),
-        f"doc_id {kind}, h long, anchor long, n1 long, n2 long, starts array<long>, size int, content binary",
+        f"doc_id {kind}, h long, anchor long, n1 long, n2 long, starts array<long>, size int, inside int, content binary",
     )
     places = stored(places, "repeat-places")
 
     name = ["anchor", "n1", "n2"]
-    segments = places.groupBy(*name).agg(F.max("content").alias("content"))
+    segments = places.groupBy(*name).agg(F.max("content").alias("content"), F.max("inside").alias("inside"))
     several = segments.repartition("anchor").sortWithinPartitions("anchor")
     partly = several.mapInArrow(
         _shards(length, new_path(spark, "repeat-queues"), most, shard), "anchor long, n1 long, n2 long, runs array<long>"
@@ -250,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
         ends, lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("start"), (F.col("at") + F.get("runs", i + 1)).alias("stop"))
     )
     covered = covered.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), pairs.alias("pairs"))
-    covered = covered.groupBy("c_id", "c_h").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("places"))
+    covered = covered.groupBy("c_id", "c_h").agg(F.flatten(F.collect_list("pairs")).alias("places"))
     covered = stored(covered, "repeat-covered")
 
     # only texts that may have something to remove are shuffled
@@ -283,6 +299,6 @@ def as_text(column: str) -> Column:
     return _text(F.col(column))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _text(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else bytes(d).decode("utf-8", "ignore"))
