@@ -49,9 +49,10 @@ def from_dfs_key(key: Column) -> Column:
     return F.replace(key, F.lit("\u0000"), F.lit("/"))
 
 
-def rel_path(path: Column, root: str) -> Column:
+def rel_path(path: Column, root: str | Column) -> Column:
     """``path`` cut at the length of ``root``; a leading ``/`` stays."""
-    return F.substring(path, len(root) + 1, 2**31 - 1)
+    length = F.lit(len(root)) if isinstance(root, str) else F.length(root)
+    return F.substring(path, length + 1, F.lit(2**31 - 1))
 
 
 def strip_scheme(uri: Column) -> Column:

@@ -13,12 +13,17 @@ from lakeaudit.session import cut_lineage
 MAX_BLOCKS = 20_000
 
 
+def _quoted(path: Column) -> Column:
+    """A path as one word of a shell command, whatever characters it has."""
+    return F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
 def _columns(path: Column, rep: Column) -> list[Column]:
     return [
         path.alias("path"),
         rep.alias("rep"),
-        F.concat(F.lit("rm -rf "), path).alias("rm_cmd"),
-        F.concat(F.lit("ln -s "), rep, F.lit(" "), path).alias("ln_cmd"),
+        F.concat(F.lit("rm -rf "), _quoted(path)).alias("rm_cmd"),
+        F.concat(F.lit("ln -s "), _quoted(rep), F.lit(" "), _quoted(path)).alias("ln_cmd"),
     ]
 
 

@@ -51,6 +51,6 @@ def manifest_check(entries: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def wrong_lengths(entries: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Listed files whose length is not the expected one."""
+    """Expected files whose length is another one, or NULL for a file that is not there."""
     actual = entries.where(~F.col("is_dir")).select("path", "length")
-    return manifest.join(actual, "path").where(F.col("length") != F.col("expected_length"))
+    return manifest.join(actual, "path", "left").where(~F.col("length").eqNullSafe(F.col("expected_length")))

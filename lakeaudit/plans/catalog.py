@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,6 @@ from lakeaudit.operators import (
     oplog,
     records,
     runs,
-    stripes,
     trees,
 )
 from lakeaudit.plans import params as P
@@ -179,12 +179,9 @@ def retention_exact_day(spark, sf):
 
 @query
 def proj_rel_path(spark, sf):
+    """Every path as seen from its own top directory."""
     path = F.col("path")
-    return (
-        V.entries(spark, sf)
-        .where(path.startswith(P.CHILD_ROOT + "/"))
-        .select("path", paths.rel_path(path, P.CHILD_ROOT).alias("rel"))
-    )
+    return V.entries(spark, sf).select("path", paths.rel_path(path, F.substring_index(path, "/", 1)).alias("rel"))
 
 
 @query
@@ -319,31 +316,6 @@ def human_size_rollup(spark, sf):
     return runs.human_size_rollup(V.size_texts(spark, sf), "grp", "size_txt", "time_txt")
 
 
-@query
-def stripe_parity(spark, sf):
-    return stripes.stripe_parity(V.blocks(spark, sf), P.DATA_BLOCKS, P.PARITY_BLOCKS)
-
-
-def _dropped() -> Column:
-    """True for the blocks a stripe loses: two or, every 16th stripe, three."""
-    pair = F.pmod(F.col("stripe"), F.lit(P.LOSS_CYCLE))
-    fate = F.col("idx").isin([])
-    for number, lost in enumerate(P.LOSSES):
-        fate = fate | ((pair == number) & F.col("idx").isin(list(lost)))
-    return fate
-
-
-@query
-def stripe_recover(spark, sf):
-    data = V.blocks(spark, sf)
-    k, m = P.DATA_BLOCKS, P.PARITY_BLOCKS
-    parity = stripes.stripe_parity(data, k, m).select(
-        "stripe", (F.col("r") + k).cast("int").alias("idx"), "off", "b"
-    )
-    alive = data.unionByName(parity).where(~_dropped())
-    return stripes.stripe_recover(alive, k, m)
-
-
 # --- windows ---------------------------------------------------------------------------
 
 
@@ -462,11 +434,11 @@ def _stream(spark: SparkSession, sf: str, name: str, **limits) -> DataFrame:
 
 @query
 def stream_op_rollup(spark, sf):
-    """Windows the watermark has closed when the stream is drained."""
+    """Every window's latest state, those the watermark has not closed included."""
     out, checkpoint = new_path(spark, "rollup"), new_path(spark, "rollup-state")
     log = V.op_events(_stream(spark, sf, "events"))
-    streams.drain_append(streams.op_rollup(log, P.WINDOW, P.DELAY), out, checkpoint)
-    return spark.read.parquet(out)
+    streams.drain_updates(streams.op_rollup(log, P.WINDOW, P.DELAY), out, checkpoint)
+    return streams.latest_rollup(spark, out)
 
 
 @query
@@ -478,14 +450,15 @@ def stream_running_max(spark, sf):
 
 @query
 def stream_expect_alert(spark, sf):
-    """Alerts of a stream of new files; the query ends at the first bad batch."""
+    """Directories with a wrong number of children over all that the stream brought, however it was cut."""
     out, checkpoint = new_path(spark, "alerts"), new_path(spark, "alerts-state")
     files = _stream(spark, sf, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"),
         F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"),
     )
-    streams.drain_expect_alert(files, P.EXPECTED_CHILDREN, out, checkpoint, stop=False)
-    return spark.read.parquet(out).select("path", "n", "child")
+    with contextlib.suppress(streams.LayoutAlert):
+        streams.drain_expect_alert(files, P.EXPECTED_CHILDREN, out, checkpoint)
+    return streams.alerts(spark, out)
 
 
 @query

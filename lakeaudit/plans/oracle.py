@@ -100,7 +100,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """select o_orderpriority as suite, case o_orderstatus when 'O' then 'before' else 'after' end as phase,
           cast(o_orderkey%3+1 as int) as repeat_no, cast(1000*(o_custkey%5+1) as int) as level,
           'avg_time' as metric, cast(round(o_totalprice*100) as bigint) as value
-        from orders where o_orderstatus in ('O','F')""",
+        from orders""",
     ),
     "fx_records": (
         [],
@@ -108,12 +108,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         from (select event_type as file, event_id,
               (row_number() over (partition by event_type order by event_id)-1)*8 as pos from events)""",
     ),
-    "fx_blocks": (
-        [],
-        """select cast(doc_id//4 as bigint) as stripe, cast(doc_id%4 as int) as idx, cast(off as int) as off,
-          cast('0x'||substring(md5(text),2*off+1,2) as int) as b
-        from documents, unnest(range(0,16)) t(off)""",
-    ),
     "fx_sizes": (
         [],
         """select p_brand as grp, p_partkey,
@@ -137,12 +131,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
               when 'm' then 60000 when 'h' then 3600000 else 1000 end as millis
         from fx_sizes""",
     ),
-    "gf": (
-        [],
-        """select * from (with recursive p(i,v) as (select 0, 1 union all
-            select i+1, case when v*2>255 then xor(v*2, 285) else v*2 end from p where i<254)
-          select i, v from p)""",
-    ),
 }
 
 
@@ -196,12 +184,6 @@ VIEWS["removable"] = (
   group by d.path""",
 )
 
-_LOST = " or ".join(
-    f"(stripe%{P.LOSS_CYCLE}={n} and idx in ({','.join(map(str, lost))}))"
-    for n, lost in enumerate(P.LOSSES)
-)
-
-
 ORACLE: dict[str, str] = {
     "src_listing": with_views(
         ["fx_runs"],
@@ -215,8 +197,9 @@ ORACLE: dict[str, str] = {
     ),
     "src_read_verify": with_views(
         ["fx_entries", "fx_expected"],
-        """select m.path, expected_length, length from fx_expected m join fx_entries e on m.path=e.path
-        where not is_dir and length<>expected_length""",
+        """select m.path, expected_length, length from fx_expected m
+        left join (select * from fx_entries where not is_dir) e on m.path=e.path
+        where length is distinct from expected_length""",
     ),
     "kv_scan": with_views(["fx_kv"], "select key, value from fx_kv order by key"),
     "kv_prefix": with_views(
@@ -267,8 +250,7 @@ ORACLE: dict[str, str] = {
     ),
     "proj_rel_path": with_views(
         ["fx_entries"],
-        f"""select path, substring(path,{len(P.CHILD_ROOT) + 1}) as rel from fx_entries
-        where starts_with(path,'{P.CHILD_ROOT}/')""",
+        "select path, substring(path, length(split_part(path,'/',1)) + 1) as rel from fx_entries",
     ),
     "filter_hidden": with_views(
         ["fx_entries"], "select path,name from fx_entries where not starts_with(name,'.')"
@@ -416,22 +398,9 @@ ORACLE: dict[str, str] = {
           select grp, cast(sum(bytes) as bigint) as bytes, cast(sum(millis) as bigint) as millis
           from fx_parsed group by grp)""",
     ),
-    "stripe_parity": with_views(
-        ["fx_blocks", "gf"],
-        f"""select stripe, cast(r as int) as r, off, bit_xor(case when b=0 then 0 else e.v end) as b
-        from fx_blocks cross join range({P.PARITY_BLOCKS}) w(r) left join gf l on l.v=b
-        left join gf e on e.i=(l.i+(r+1)*idx)%255 group by 1,2,3""",
-    ),
-    "stripe_recover": with_views(
-        ["fx_blocks"],
-        f"""select stripe, idx, off,
-          case when stripe%{P.LOSS_CYCLE}={P.LOSS_CYCLE - 1} then null else b end as b,
-          case when stripe%{P.LOSS_CYCLE}={P.LOSS_CYCLE - 1} then 'lost' else 'recovered' end as status
-        from fx_blocks where {_LOST}""",
-    ),
     "dup_files": with_views(
         ["fx_dup"],
-        """select path, rep, 'rm -rf '||path as rm_cmd, 'ln -s '||rep||' '||path as ln_cmd from (
+        """select path, rep, 'rm -rf '||chr(39)||replace(path,chr(39),chr(39)||chr(92)||chr(39)||chr(39))||chr(39) as rm_cmd, 'ln -s '||chr(39)||replace(rep,chr(39),chr(39)||chr(92)||chr(39)||chr(39))||chr(39)||' '||chr(39)||replace(path,chr(39),chr(39)||chr(92)||chr(39)||chr(39))||chr(39) as ln_cmd from (
           select *, first_value(path) over (partition by name, run order by string_split(path,'/')) as rep
           from (select *, sum(new) over (partition by name order by string_split(path,'/')) as run
             from (select *, case when length = lag(length) over
@@ -499,8 +468,6 @@ ORACLE: dict[str, str] = {
         f"""select window_start, window_start + interval {P.WINDOW} as window_end, op, count(*) as n,
           max(elapsed) as max_elapsed
         from (select *, time_bucket(interval {P.WINDOW}, start_ts) as window_start from fx_oplog)
-        where window_start + interval {P.WINDOW}
-          <= (select date_trunc('milliseconds', max(ts)) - interval {P.DELAY} from events)
         group by window_start, op""",
     ),
     "stream_running_max": with_views(

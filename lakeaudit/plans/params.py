@@ -1,7 +1,5 @@
 """Parameters shared by the registered queries and their SQL twins."""
 
-from itertools import combinations
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -25,8 +23,3 @@ TOP = 10
 TAIL = 100
 WINDOW = "10 seconds"
 DELAY = "10 seconds"
-DATA_BLOCKS = 4
-PARITY_BLOCKS = 2
-# All pairs of the six blocks, then one loss of three that cannot be made good.
-LOSSES = [*combinations(range(6), 2), (0, 1, 2)]
-LOSS_CYCLE = len(LOSSES)

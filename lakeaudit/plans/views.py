@@ -248,7 +248,6 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     phase = F.when(F.col("o_orderstatus") == "O", "before").otherwise("after")
     return (
         table(spark, sf, "orders")
-        .where(F.col("o_orderstatus").isin("O", "F"))
         .select(
             F.col("o_orderpriority").alias("suite"),
             phase.alias("phase"),
@@ -270,18 +269,6 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Stripes of four blocks of 16 bytes, from the MD5 of each text."""
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hex"))
-    byte = F.conv(F.substring("hex", F.col("off") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return docs.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(
-        div(F.col("doc_id"), 4).alias("stripe"),
-        (F.col("doc_id") % 4).cast("int").alias("idx"),
-        "off",
-        byte.alias("b"),
-    )
-
-
 def size_texts(spark: SparkSession, sf: str) -> DataFrame:
     def text(units: list[str]) -> Column:
         unit = F.get(F.array(*map(F.lit, units)), (F.col("p_partkey") % 5).cast("int"))

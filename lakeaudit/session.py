@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,7 +29,7 @@ def local_session(cores: str = "8", name: str = "lakeaudit", **conf) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster an
+    Only a local master may fall back to a temporary folder, which goes when Python ends; on a cluster an
     unset folder is an error, since executors would not see the driver's disk.
     """
     sc = spark.sparkContext
@@ -36,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="lakeaudit-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

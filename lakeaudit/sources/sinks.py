@@ -52,12 +52,24 @@ def fanout(df: DataFrame, path: str, worker: str, files: int, max_records: int =
 
 
 def register_tables(spark: SparkSession, database: str, tables: dict[str, str]) -> list[str]:
-    """Register Parquet directories as external tables; returns their full names."""
+    """Register Parquet directories as external tables; returns their full names.
+
+    A table that is there already stays if it is external and points to the same path,
+    is registered anew if it is external and points to another one, and is an error if
+    it is managed: dropping it would delete its data.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     names = []
     for name, path in tables.items():
         full = f"{database}.{name}"
-        spark.sql(f"DROP TABLE IF EXISTS {full}")
-        spark.catalog.createTable(full, path=path, source="parquet")
         names.append(full)
+        if spark.catalog.tableExists(full):
+            facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {full}").collect()}
+            if facts.get("Type") != "EXTERNAL":
+                raise ValueError(f"{full} is no external table; it stays as it is")
+            if facts.get("Location", "").rstrip("/").endswith(path.rstrip("/")):
+                spark.catalog.refreshTable(full)
+                continue
+            spark.sql(f"DROP TABLE {full}")
+        spark.catalog.createTable(full, path=path, source="parquet")
     return names

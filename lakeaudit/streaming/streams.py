@@ -7,6 +7,7 @@ with another trigger.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,7 +17,7 @@ from lakeaudit.operators.skew import HOT_ROWS
 
 
 class LayoutAlert(RuntimeError):
-    """A micro-batch held a directory with a wrong number of children."""
+    """A directory has a wrong number of children."""
 
 
 def read_files(
@@ -77,7 +78,12 @@ def drain_append(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def drain_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Write changed rows per micro-batch; a repeated batch replaces itself."""
+    """Write changed rows per micro-batch; a repeated batch replaces itself.
+
+    An empty part comes first, so that the schema is there without any batch.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -92,6 +98,15 @@ def drain_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
     )
 
 
+def latest_rollup(spark: SparkSession, out: str) -> DataFrame:
+    """Current state of every window from the updates of :func:`op_rollup`; both values only grow."""
+    return (
+        spark.read.parquet(out)
+        .groupBy("window_start", "window_end", "op")
+        .agg(F.max("n").alias("n"), F.max("max_elapsed").alias("max_elapsed"))
+    )
+
+
 def latest_worker_max(spark: SparkSession, out: str) -> DataFrame:
     """Current state from the updates of :func:`worker_max`; both values only grow."""
     return (
@@ -109,24 +124,46 @@ def drain_expect_alert(
     stop: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> None:
-    """Per micro-batch, children of directories with a wrong child count.
+    """Writes the children of directories whose child count differs from ``expected``; see :func:`alerts`.
 
-    The alerts are written first; with ``stop`` the batch then fails and the
-    query ends with it.
+    Counts run over all micro-batches, so the alerts do not depend on how the stream is
+    cut. With ``stop`` the query ends at the first batch after which a directory has too
+    many children; too few are known when the stream is drained. Either way the alerts
+    are written first and :class:`LayoutAlert` is raised then.
     """
-
-    def check(batch: DataFrame, number: int) -> None:
-        path = f"{out}/batch={number}"
-        wrong_counts(batch, expected, hot_rows).write.mode("overwrite").parquet(path)
+    spark = entries.sparkSession
+    for part, schema in (("seen", entries.schema), ("counts", "parent string, n bigint")):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/{part}/batch=-1")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
+        own = batch.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+        own.write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
         if stop:
-            written = batch.sparkSession.read.parquet(path)
-            if not written.isEmpty():
-                raise LayoutAlert(f"batch {number}: see {path}")
+            now = batch.sparkSession.read.parquet(f"{out}/counts/batch={number}").select("parent")
+            total = batch.sparkSession.read.parquet(f"{out}/counts").join(now, "parent").groupBy("parent").agg(F.sum("n").alias("n"))
+            if not total.where(F.col("n") > expected).isEmpty():
+                raise LayoutAlert(f"batch {number}: see {out}/alerts")
 
-    (
-        entries.writeStream.foreachBatch(check)
+    query = (
+        entries.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    stopped = None
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "LayoutAlert" not in str(e):
+            raise
+        stopped = e
+    seen = spark.read.parquet(f"{out}/seen").drop("batch")
+    wrong_counts(seen, expected, hot_rows).write.mode("overwrite").parquet(f"{out}/alerts")
+    if stopped or (stop and not alerts(spark, out).isEmpty()):
+        raise LayoutAlert(f"see {out}/alerts") from stopped
+
+
+def alerts(spark: SparkSession, out: str) -> DataFrame:
+    """(path, n, child) as :func:`drain_expect_alert` wrote them."""
+    return spark.read.parquet(f"{out}/alerts").select("path", "n", "child")

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lakeaudit.plans.catalog import QUERIES
 from lakeaudit.operators import inventory, records
 from lakeaudit.plans import views as V
 
-WRITES = {k for k in entry.queries() if k.startswith(("sink_", "stream_", "src_listing", "kv_dump", "table_"))}
+WRITES = {k for k in QUERIES if k.startswith(("sink_", "stream_", "src_listing", "kv_dump", "table_"))}
 PYTHON = ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
 
 
@@ -16,9 +17,9 @@ def plan(df):
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - WRITES))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - WRITES))
 def test_no_cross_join_and_no_python(spark, sf, key):
-    text = plan(entry.queries()[key](spark, sf))
+    text = plan(QUERIES[key](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert key == "kv_map_partitions" or not any(node in text for node in PYTHON)
 

@@ -129,3 +129,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 200
     names = sinks.register_tables(spark, "sinks_test", {"t": path})
     assert names == ["sinks_test.t"] and spark.table("sinks_test.t").count() == 200
+
+
+def test_registering_harms_no_managed_table(spark, tmp_path):
+
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    spark.range(5).write.parquet(str(tmp_path / "b"))
+    for name, n in (("a", 3), ("a", 3), ("b", 5)):
+        (full,) = sinks.register_tables(spark, "register_test", {"t": str(tmp_path / name)})
+        assert spark.table(full).count() == n
+    spark.sql("drop table if exists register_test.own")
+    spark.range(7).write.saveAsTable("register_test.own")
+    with pytest.raises(ValueError):
+        sinks.register_tables(spark, "register_test", {"own": str(tmp_path / "a")})
+    assert spark.table("register_test.own").count() == 7
+    spark.sql("drop database register_test cascade")

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lakeaudit.streaming import streams
@@ -61,23 +60,58 @@ def test_worker_max_survives_a_restart(spark, tmp_path):
     assert got == {1: (3, 8), 2: (1, 9)}
 
 
+def test_alerts_do_not_depend_on_the_cut(spark, tmp_path):
+    schema = "parent string, name string"
+    rows = [("d", "a"), ("d", "b"), ("e", "x"), ("f", "1"), ("f", "2"), ("f", "3"), ("g", "p"), ("g", "q")]
+    got = []
+    for files in (1, 4, 8):
+        src, out = str(tmp_path / f"in{files}"), str(tmp_path / f"out{files}")
+        for k in range(files):
+            write(spark, src, rows[k::files], schema)
+        stream = source(spark, src, schema, max_files=1)
+        streams.drain_expect_alert(stream, 2, out, out + "-state", stop=False, hot_rows=1)
+        got.append(sorted(map(tuple, streams.alerts(spark, out).collect())))
+    assert got[0] == got[1] == got[2] == [("e", 1, "x"), ("f", 3, "1"), ("f", 3, "2"), ("f", 3, "3")]
+
+
 def test_alert_stops_the_query(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "parent string, name string"
-    good = [("d", "a"), ("d", "b")]
-    write(spark, src, good, schema)
+    write(spark, src, [("d", "a"), ("d", "b")], schema)
 
-    def drain(name, stop):
+    def drain(name):
         out = str(tmp_path / name)
-        streams.drain_expect_alert(source(spark, src, schema), 2, out, out + "-state", stop, hot_rows=1)
-        return sorted(map(tuple, spark.read.parquet(out).select("path", "n", "child").collect()))
-
-    assert drain("fine", True) == []
-    write(spark, src, [("e", "x")], schema)
-    with pytest.raises(StreamingQueryException):
-        drain("stopped", True)
-    assert ("e", 1, "x") in drain("recorded", False)
-    stopped = spark.read.parquet(str(tmp_path / "stopped")).select("path", "n", "child")
-    assert ("e", 1, "x") in set(map(tuple, stopped.collect()))
+        try:
+            streams.drain_expect_alert(source(spark, src, schema, max_files=1), 2, out, out + "-state", hot_rows=1)
+        finally:
+            assert sorted(map(tuple, streams.alerts(spark, out).collect())) == want
+
+    want = []
+    drain("fine")
+    for rows, want in (([("e", "x")], [("e", 1, "x")]), ([("e", "y"), ("e", "z")], [("e", 3, c) for c in "xyz"])):
+        write(spark, src, rows, schema)
+        with pytest.raises(streams.LayoutAlert):
+            drain(f"stopped{len(want)}")
+
+
+def test_streams_without_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    write(spark, src, [])
+    out = str(tmp_path / "out")
+    streams.drain_updates(streams.worker_max(source(spark, src)), out, str(tmp_path / "state"))
+    assert streams.latest_worker_max(spark, out).count() == 0
+
+
+def test_rollup_of_files_in_time_order(spark, tmp_path):
+    rows = [(1, "ab"[i % 2], at(3 * i), i) for i in range(64)]
+    got = []
+    for files in (1, 4, 16):
+        src, out = str(tmp_path / f"in{files}"), str(tmp_path / f"out{files}")
+        for k in range(files):
+            write(spark, src, rows[k * 64 // files : (k + 1) * 64 // files])
+        streams.drain_updates(streams.op_rollup(source(spark, src, max_files=1)), out, out + "-state")
+        got.append(sorted(map(tuple, streams.latest_rollup(spark, out).collect())))
+    log = spark.createDataFrame(rows, SCHEMA)
+    assert got[0] == got[1] == got[2] == sorted(map(tuple, streams.op_rollup(log).collect()))
 
 
 def test_throttled_read_takes_one_file_per_batch(spark, tmp_path):
