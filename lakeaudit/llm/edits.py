@@ -21,7 +21,7 @@ from lakeaudit.llm.pieces import Encoder, added_tokens, coded, cut, pieces
 
 LEAF = 16
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
-_BATCH_PIECES = 1_000_000
+_BATCH_PIECES = 2_000_000
 
 
 class Tree:

@@ -12,7 +12,6 @@ as unsigned 16-bit integers (32-bit for vocabularies over 65,536), then zeros.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -27,10 +26,10 @@ from pyspark.sql import functions as F
 from lakeaudit.llm.common import mix, small_batches, stored
 from lakeaudit.llm.pieces import Encoder, added_tokens, coded, pieces, spread, tokenizer
 
-SEQUENCE = 512
-SHARD_ROWS = 8_192
+SEQUENCE = 256
+SHARD_ROWS = 16_384
 ROUNDS = 6
-_BATCH_PIECES = 1_000_000
+_BATCH_PIECES = 2_000_000
 
 
 def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
@@ -57,6 +56,16 @@ def _item(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 65_536 else "<u4"
 
 
+def _packed(pack, ids: np.ndarray) -> bytes:
+    """Compressed ids, all first bytes before all second ones: they repeat more among themselves."""
+    return pack.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes())
+
+
+def _unpacked(unpack, packed: bytes, item: str) -> bytes:
+    data = np.frombuffer(unpack.decompress(packed), np.uint8).reshape(int(item[-1]), -1)
+    return np.ascontiguousarray(data.T).tobytes()
+
+
 def _sequences(path: str, length: int):
     """(task, row, doc_id, part, n, ids): the sequences of each text, numbered within the task."""
 
@@ -79,7 +88,7 @@ def _sequences(path: str, length: int):
                     [
                         pa.array(np.full(len(doc), task, np.int32)), pa.array(row + np.arange(len(doc), dtype=np.int64)),
                         part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array((stop - start).astype(np.int32)),
-                        pa.array([pack.compress(ids[a:b].tobytes()) for a, b in zip(start, stop)], pa.binary()),
+                        pa.array([_packed(pack, ids[a:b]) for a, b in zip(start, stop)], pa.binary()),
                     ],
                     ["task", "row", "doc_id", "part", "n", "ids"],
                 )
@@ -116,23 +125,21 @@ def _written(folder: str, path: str, length: int, shard_rows: int):
 
         for batch in batches:
             slot = batch.column("slot").to_numpy()
-            shas = []
             for s, n, packed in zip(slot.tolist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
                 if s // shard_rows != now:
                     close()
                     now = s // shard_rows
                     name = f"{top}/_{now:08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                ids = unpack.decompress(packed)
+                ids = _unpacked(unpack, packed, item)
                 out.write(np.uint32(n).astype("<u4").tobytes() + ids.ljust(length * np.dtype(item).itemsize, b"\0"))
-                shas.append(hashlib.sha256(np.frombuffer(ids, item).astype("<u4").tobytes()).hexdigest())
             stride = 4 + length * np.dtype(item).itemsize
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot % shard_rows * stride),
-                    *[batch.column(c) for c in ("doc_id", "part", "n")], pa.array(shas),
+                    *[batch.column(c) for c in ("doc_id", "part", "n")],
                 ],
-                ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "ids_sha256"],
+                ["slot", "shard", "offset", "doc_id", "part", "n_tokens"],
             )
         close()
 
@@ -145,7 +152,7 @@ def materialise(
     """Writes the sequences of ``docs`` (doc_id, text) below ``folder`` and tells where each is.
 
     Columns: slot, shard, offset (of the record in its file shard-NNNNNNNN.bin), doc_id,
-    part (number in the text), n_tokens, ids_sha256 (of the ids as 32-bit integers).
+    part (number in the text), n_tokens.
     Every task of every executor must reach ``folder``. A text's ids are cut every
     ``length``; a null or empty text has no sequence. Repeated rows and null ids stay;
     further columns are not read; an empty table writes nothing. Numbers follow the
@@ -169,7 +176,7 @@ def materialise(
     placed = placed.repartitionByRange(tasks, shard).sortWithinPartitions("slot")
     return placed.mapInArrow(
         _written(folder, path, length, shard_rows),
-        f"slot long, shard int, offset long, doc_id {kind}, part int, n_tokens int, ids_sha256 string",
+        f"slot long, shard int, offset long, doc_id {kind}, part int, n_tokens int",
     )
 
 

@@ -2,7 +2,7 @@
 
 The pre-tokenizer's pattern never joins a letter to a following ASCII punctuation
 mark (but an apostrophe) nor anything but blanks to a following blank, whatever
-stands before or behind. Cut at such places, and around added tokens, a text's
+stands before or behind. Cut where such a place follows a character of Latin-1, and around added tokens, a text's
 pieces encode to what the whole text encodes to, one after the other. The places
 are sets of fixed characters, so no Unicode version of any library matters.
 """
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that some library counts as blank, Latin letters, ASCII marks without the apostrophe.
-_BLANK = r"\t-\r\x1c-\x20\x85\xa0" + "".join(
-    map(chr, (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
-)
+# ASCII that is no blank, Latin letters, ASCII marks without the apostrophe.
+# All are of the first 256 characters, for which regex engines keep bit sets.
+_SEEN = r"!-~\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _MARK = r"!-&(-/:-@\[-`{-~"
-CUT = rf"(?<=[^{_BLANK}])(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[{_MARK}])"
+# The character ahead is looked at first: it rules most places out.
+CUT = rf"(?=[ \t\n\r{_MARK}])(?:(?=[ \t\n\r])(?<=[{_SEEN}])|(?<=[{_LETTER}])(?=[{_MARK}]))"
 _KEPT = 300_000
 
 

@@ -22,9 +22,9 @@ from lakeaudit.llm.common import small_batches, stored
 from lakeaudit.llm.pieces import added_tokens, coded, encode, pieces, spread, tokenizer
 
 #: The broadcast part: so many words, none longer than so many characters.
-COMMON_WORDS = 150_000
+COMMON_WORDS = 500_000
 COMMON_LENGTH = 48
-_BATCH_PIECES = 1_000_000
+_BATCH_PIECES = 2_000_000
 
 
 def _encoded_words(path: str):
@@ -78,51 +78,58 @@ def _others(common):
     return run
 
 
+def _packed(pack, values: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """Runs of numbers below 2^24 between ``cuts``, compressed byte by byte: low bytes, middle bytes, high bytes."""
+    return [
+        pa.array([pack.compress(b[x:y]) for x, y in zip(cuts, cuts[1:])], pa.binary())
+        for b in (((values >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16))
+    ]
+
+
 def _in_place(common):
-    """(doc_id, h, ids, gaps): ids of the common words, and after how many of them each other piece belongs."""
+    """(doc_id, h, common words as ranks, gaps): after how many common words each other piece belongs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
-        _, flat, sizes = common.value
         for batch in batches:
             for part in small_batches(iter([batch]), "pieces", _BATCH_PIECES):
                 place, _, _, lengths = _looked_up(part, common.value)
-                have = np.where(place >= 0, sizes[np.maximum(place, 0)] if len(sizes) else 0, 0)
-                ids = spread(flat, sizes, place[place >= 0])
-                ends = np.cumsum(have)
-                stop = np.concatenate(([0], ends))[np.cumsum(lengths)]
-                start = np.concatenate(([0], stop[:-1]))
                 row = np.repeat(np.arange(len(lengths)), lengths)
-                other = place < 0
-                gaps = (ends - start[row])[other].astype("<i4")
-                cuts = np.concatenate(([0], np.cumsum(np.bincount(row[other], minlength=len(lengths)))))
-                wide = "<u2" if not len(flat) or flat.max() < 65_536 else "<u4"
-                ids = ids.astype(wide)
+                own = place >= 0
+                have = np.bincount(row[own], minlength=len(lengths))
+                cuts = np.concatenate(([0], np.cumsum(have)))
+                gaps = (np.cumsum(own) - cuts[row])[~own].astype("<i4")
+                others = np.concatenate(([0], np.cumsum(lengths - have)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("h"),
-                        pa.array([pack.compress(ids[a:b].tobytes()) for a, b in zip(start, stop)], pa.binary()),
-                        pa.array(np.full(len(lengths), int(wide[-1]), np.int32)),
-                        pa.array([pack.compress(gaps[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        part.column("doc_id"), part.column("h"), *_packed(pack, place[own], cuts),
+                        pa.array([pack.compress(np.diff(gaps[a:b], prepend=0).astype("<i4").tobytes()) if b > a else b"" for a, b in zip(others, others[1:])], pa.binary()),
                     ],
-                    ["doc_id", "h", "ids", "wide", "gaps"],
+                    ["doc_id", "h", "low", "middle", "high", "gaps"],
                 )
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for ids, wide, gaps, others in zip(*(batch.column(c).to_pylist() for c in ("ids", "wide", "gaps", "others"))):
-            ids = np.frombuffer(unpack.decompress(ids), f"<u{wide}").astype("<u4")
-            if others:
-                gaps = np.frombuffer(unpack.decompress(gaps), "<i4")
-                found = [np.frombuffer(o["ids"], "<u4") for o in sorted(others, key=lambda o: o["at"])]
-                ids = np.insert(ids, np.repeat(gaps, [len(f) for f in found]), np.concatenate(found))
-            out.append(ids.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+def _merged(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        _, flat, sizes = common.value
+        for batch in batches:
+            out = []
+            for *planes, gaps, others in zip(*(batch.column(c).to_pylist() for c in ("low", "middle", "high", "gaps", "others"))):
+                low, middle, high = (np.frombuffer(unpack.decompress(p), np.uint8).astype(np.int64) for p in planes)
+                ranks = low | middle << 8 | high << 16
+                ids = spread(flat, sizes, ranks) if len(ranks) else np.zeros(0, "<u4")
+                if others:
+                    before = np.cumsum(np.frombuffer(unpack.decompress(gaps), "<i4"))
+                    at = np.concatenate(([0], np.cumsum(sizes[ranks])))[before] if len(ranks) else before * 0
+                    found = [np.frombuffer(o["ids"], "<u4") for o in sorted(others, key=lambda o: o["at"])]
+                    ids = np.insert(ids, np.repeat(at, [len(f) for f in found]), np.concatenate(found))
+                out.append(ids.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+    return run
 
 
 def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -> DataFrame:
@@ -143,9 +150,10 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     others = cut.mapInArrow(_others(common), f"doc_id {kind}, h long, at int, word string")
     others = others.join(table.select("word", "ids"), "word")
     others = others.groupBy(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h")).agg(F.collect_set(F.struct("at", "ids")).alias("others"))
-    placed = cut.mapInArrow(_in_place(common), f"doc_id {kind}, h long, ids binary, wide int, gaps binary")
+    placed = cut.mapInArrow(_in_place(common), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
     rows = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
-    return rows.select("doc_id", "ids", "wide", "gaps", "others").mapInArrow(_merged, f"doc_id {kind}, ids binary")
+    rows = rows.select("doc_id", "low", "middle", "high", "gaps", "others")
+    return rows.mapInArrow(_merged(common), f"doc_id {kind}, ids binary")
 
 
 def _byte_of() -> dict[str, int]:
