@@ -87,9 +87,9 @@ def rules() -> list[tuple[str, str, str, float]]:
 
 def words_between_blanks(text: Column) -> Column:
     """The text's words, each with one blank before it, and a blank at the end; one blank if none."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    spaced = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, lower), NO_WORD, " ")
-    return F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), " +", " ")
+    # lower() also changes other letters, but no letter of another script becomes one of a phrase or rule's, nor any a gap
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_WORD, " "))
+    return F.when(spaced == "", " ").otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
 
 
 def _blanks(text: Column) -> Column:
@@ -163,7 +163,10 @@ def scan(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    licensed = hit(words, F.lit("licen")) | hit(words, F.lit(" under ")) | hit(words, F.lit(" by ")) | hit(words, F.lit(" subject "))
+    # every way to name a license has one of these
+    licensed = F.lit(False)
+    for sign in ("licen", " under ", " subject to ", "governed by", "covered by"):
+        licensed = licensed | hit(words, F.lit(sign))
     nothing = F.array().cast("array<struct<start:int,back:int,priority:int,label:string,score:double>>")
     rows = rows.select(
         "doc_id",

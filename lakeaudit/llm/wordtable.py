@@ -25,6 +25,7 @@ from lakeaudit.llm.pieces import added_tokens, coded, encode, pieces, spread, to
 COMMON_WORDS = 500_000
 COMMON_LENGTH = 48
 _BATCH_PIECES = 2_000_000
+_DECODED_BYTES = 2_000_000
 
 
 def _encoded_words(path: str):
@@ -186,11 +187,15 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         flat = np.frombuffer(b"".join(names), np.uint8)
         sizes = np.array([len(n) for n in names], np.int64)
         for batch in batches:
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                ids = np.frombuffer(ids or b"", "<u4").astype(np.int64)
-                out.append(spread(flat, sizes, ids[ids < len(names)]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(out, pa.string())], [*batch.schema.names, "text"])
+            for part in small_batches(iter([batch]), "ids", _DECODED_BYTES):
+                data = [d or b"" for d in part.column("ids").to_pylist()]
+                ids = np.frombuffer(b"".join(data), "<u4").astype(np.int64)
+                row = np.repeat(np.arange(len(data)), [len(d) // 4 for d in data])
+                row, ids = row[ids < len(names)], ids[ids < len(names)]
+                ends = np.cumsum(np.bincount(row, sizes[ids], minlength=len(data)).astype(np.int64))
+                joined = spread(flat, sizes, ids).tobytes()
+                out = [joined[a:b].decode("utf-8", "replace") for a, b in zip(np.concatenate(([0], ends)), ends)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], pa.array(out, pa.string())], [*part.schema.names, "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
