@@ -3,54 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeaudit.functions.numbers import div
-from lakeaudit.operators.skew import HOT_ROWS
-
-# At most this many hits, a few MB of line numbers, are broadcast.
-FEW_HITS = 50_000
-
-
 def drop_comments(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("line").startswith("#"))
 
 
-def grep_context(
-    lines: DataFrame,
-    pattern: str,
-    after: int = 2,
-    block_rows: int = HOT_ROWS,
-    few_hits: int = FEW_HITS,
-    ignore_case: bool = True,
-) -> DataFrame:
+def grep_context(lines: DataFrame, pattern: str, after: int = 2, ignore_case: bool = True) -> DataFrame:
     """Lines that match, and the ``after`` lines behind each.
 
-    The hits are counted first. Up to ``few_hits`` of them, the line numbers
-    wanted are broadcast and no text is shuffled. Beyond that, a file is cut
-    into blocks of ``block_rows`` lines, each windowed on its own; the last
-    ``after`` lines of a block are repeated in front of the next one.
+    The numbers of the lines wanted are joined back to the text without a hint:
+    Spark broadcasts them while they are few, and beyond that may cut the text by
+    a bloom filter of them before it is shuffled. No file or block is windowed.
     """
-    if block_rows < max(after, 1):
-        raise ValueError("block_rows must be at least the number of context lines")
     marked = lines.withColumn("is_match", F.col("line").rlike(("(?i)" if ignore_case else "") + pattern))
-    hits = marked.where("is_match")
-    if hits.count() <= few_hits:
-        reach = F.sequence(F.col("line_no"), F.col("line_no") + after)
-        wanted = hits.select("file", F.explode(reach).alias("line_no")).distinct()
-        found = marked.join(F.broadcast(wanted), ["file", "line_no"], "left_semi")
-        return found.select("file", "line_no", "line", "is_match")
-    home = div(F.col("line_no"), block_rows)
-    near_end = F.pmod(F.col("line_no"), F.lit(block_rows)) >= block_rows - after
-    blocks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
-    w = W.partitionBy("file", "_block").orderBy("line_no").rangeBetween(-after, 0)
-    return (
-        marked.withColumn("_block", F.explode(blocks))
-        .withColumn("_near", F.max("is_match").over(w))
-        .where(F.col("_near") & (F.col("_block") == home))
-        .select("file", "line_no", "line", "is_match")
-    )
+    reach = F.sequence(F.col("line_no"), F.col("line_no") + after)
+    wanted = marked.where("is_match").select("file", F.explode(reach).alias("line_no")).distinct()
+    return marked.join(wanted, ["file", "line_no"], "left_semi").select("file", "line_no", "line", "is_match")
 
 
 def report_extract(lines: DataFrame, head: str) -> DataFrame:

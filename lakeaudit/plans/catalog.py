@@ -24,7 +24,7 @@ from lakeaudit.operators import (
 from lakeaudit.plans import params as P
 from lakeaudit.plans import views as V
 from lakeaudit.session import new_path
-from lakeaudit.sources import listing, manifests, sinks
+from lakeaudit.sources import listing, manifests, sinks, tables
 from lakeaudit.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +85,10 @@ def kv_scan(spark, sf):
 
 @query
 def kv_prefix(spark, sf):
-    return kv.kv_prefix(V.kv(spark, sf), P.KEY_PREFIX.encode()).select(
+    """Writes the table in key order; the prefix then reaches the scan as a range of keys."""
+    out = new_path(spark, "kv")
+    sinks.write_kv(V.kv(spark, sf), out)
+    return kv.kv_prefix(tables.read_kv(spark, out), P.KEY_PREFIX.encode()).select(
         F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")
     )
 
