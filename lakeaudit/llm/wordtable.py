@@ -52,6 +52,14 @@ def _common(table: DataFrame, words: int) -> tuple[pa.Array, np.ndarray, np.ndar
     return rows.column("word").combine_chunks().cast(pa.string()), np.frombuffer(b"".join(ids.to_pylist()), "<u4"), sizes
 
 
+def _joined(values: pa.Array, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The byte strings number ``at`` of ``values`` one after the other, and where each begins and the last one ends."""
+    if not len(at):
+        return memoryview(b""), np.zeros(1, np.int64)
+    taken = values.take(pa.array(at)).cast(pa.large_binary())
+    return memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
+
+
 def _looked_up(part: pa.RecordBatch, common):
     """Place in the common words of each piece, -1 for others; pieces, their numbers, pieces a row."""
     words, at, lengths = coded(part.column("pieces"))
@@ -150,7 +158,9 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     cut = own.select("doc_id", F.xxhash64("text").alias("h"), pieces(F.col("text"), added).alias("pieces"))
     others = cut.mapInArrow(_others(common), f"doc_id {kind}, h long, at int, word string")
     others = others.join(table.select("word", "ids"), "word")
-    others = others.groupBy(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h")).agg(F.collect_set(F.struct("at", "ids")).alias("others"))
+    # a text's words come from many tasks, so combining them before the shuffle would only add to it
+    others = others.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "at", "ids").repartition("o_id", "o_h")
+    others = others.groupBy("o_id", "o_h").agg(F.collect_set(F.struct("at", "ids")).alias("others"))
     placed = cut.mapInArrow(_in_place(common), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
     rows = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
     rows = rows.select("doc_id", "low", "middle", "high", "gaps", "others")
@@ -184,17 +194,16 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = table.value
-        flat = np.frombuffer(b"".join(names), np.uint8)
-        sizes = np.array([len(n) for n in names], np.int64)
+        values = pa.array(names, pa.binary())
         for batch in batches:
             for part in small_batches(iter([batch]), "ids", _DECODED_BYTES):
                 data = [d or b"" for d in part.column("ids").to_pylist()]
                 ids = np.frombuffer(b"".join(data), "<u4").astype(np.int64)
                 row = np.repeat(np.arange(len(data)), [len(d) // 4 for d in data])
                 row, ids = row[ids < len(names)], ids[ids < len(names)]
-                ends = np.cumsum(np.bincount(row, sizes[ids], minlength=len(data)).astype(np.int64))
-                joined = spread(flat, sizes, ids).tobytes()
-                out = [joined[a:b].decode("utf-8", "replace") for a, b in zip(np.concatenate(([0], ends)), ends)]
+                joined, places = _joined(values, ids)
+                ends = places[np.cumsum(np.bincount(row, minlength=len(data)))]
+                out = [str(joined[a:b], "utf-8", "replace") for a, b in zip(np.concatenate(([0], ends)), ends)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], pa.array(out, pa.string())], [*part.schema.names, "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
