@@ -21,7 +21,9 @@ from lakeaudit.llm.pieces import Encoder, added_tokens, coded, cut, pieces
 
 LEAF = 16
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
-_BATCH_PIECES = 2_000_000
+# What a task holds at once of the pieces, and of the bytes of text under edit.
+_BATCH_PIECES = 250_000
+_EDITED_BYTES = 4_000_000
 
 
 class Tree:
@@ -140,20 +142,21 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for text, chars, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits"))):
-                tree, before, again, text = Tree(np.array(chars or [], np.int64), np.array(tokens or [], np.int64)), sum(tokens or []), 0, text or ""
-                for e in edits or []:
-                    text, tree, n = edit(text, tree, e["start"] or 0, e["stop"] or 0, e["insert"] or "", encoder, added)
-                    again += n
-                own = tree.columns()
-                for column, value in zip(out, (text, own[:, 0], own[:, 1], len(edits or []), before, tree.tokens, again)):
-                    column.append(value)
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_edits", "tokens_before", "tokens_after", "recounted"],
-            )
+            for part in small_batches(iter([batch]), "text", _EDITED_BYTES):
+                out: list[list] = [[] for _ in range(7)]
+                for text, chars, tokens, edits in zip(*(part.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits"))):
+                    tree, before, again, text = Tree(np.array(chars or [], np.int64), np.array(tokens or [], np.int64)), sum(tokens or []), 0, text or ""
+                    for e in edits or []:
+                        text, tree, n = edit(text, tree, e["start"] or 0, e["stop"] or 0, e["insert"] or "", encoder, added)
+                        again += n
+                    own = tree.columns()
+                    for column, value in zip(out, (text, own[:, 0], own[:, 1], len(edits or []), before, tree.tokens, again)):
+                        column.append(value)
+                kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+                    ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_edits", "tokens_before", "tokens_after", "recounted"],
+                )
 
     return trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", F.col("edits").cast(EDITS)).mapInArrow(
         run,

@@ -27,6 +27,7 @@ _MARK = r"!-&(-/:-@\[-`{-~"
 # The character ahead is looked at first: it rules most places out.
 CUT = rf"(?=[ \t\n\r{_MARK}])(?:(?=[ \t\n\r])(?<=[{_SEEN}])|(?<=[{_LETTER}])(?=[{_MARK}]))"
 _KEPT = 300_000
+_AT_ONCE = 10_000
 
 
 def default_path() -> str:
@@ -70,7 +71,10 @@ def tokenizer(path: str):
 
 
 def encode(path: str, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    own, out = tokenizer(path), []
+    for a in range(0, len(words), _AT_ONCE):  # the library's results are far larger than their ids
+        out += [e.ids for e in own.encode_batch(words[a : a + _AT_ONCE], add_special_tokens=False)]
+    return out
 
 
 def coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
