@@ -7,6 +7,11 @@
 3. Different segments of one anchor go to one shard, but for those that agree with no
    other in the half string on either side of it; the shard's suffixes are put in order
    by external induced sorting, where equal strings are neighbours.
+   An anchor whose segments may be larger than a shard is hot: its strings are dealt over
+   tasks by their hash and counted there, none of its segments have to meet in one task.
+   Equal strings have the anchor at the same distance, so a string is compared with those of its
+   distance only: first for blocks of ``STEP`` distances, by the bytes that all strings of a
+   block hold and by all bytes of a block, then one by one where only the first agree.
 4. What is repeated goes back to the places of its segment, places are merged for each
    text and cut out.
 
@@ -33,10 +38,12 @@ from lakeaudit.session import new_path
 
 LENGTH = 400
 GRAM = 128
-#: Bytes of a text batch, of a shard's text (a group that is larger is a shard of its own), words of the anchors' bit set.
+#: Bytes of a text batch, of a shard's text (and of the segments of an anchor that may be sorted in it), words of the anchors' bit set.
 BATCH = 1 << 20
 SHARD = 1 << 22
 ANCHOR_BITS = 1 << 19
+#: Distances from a hot anchor that are compared at once.
+STEP = 16
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -202,6 +209,113 @@ def _shards(length: int, folder: str, most: int, shard: int):
     return run
 
 
+def _digests(found: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+
+
+def _blocks(length: int):
+    """Per segment of a hot anchor and block of distances its strings have: the first and last start, hashes of the common and of all bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(iter([batch]), "content", BATCH):
+                rows, first, last, common, whole = [], [], [], [], []
+                for row, (piece, at) in enumerate(zip(part.column("content").to_pylist(), part.column("inside").to_pylist())):
+                    least = at - len(piece) + length
+                    for k in range(least // STEP, at // STEP + 1):
+                        near, far = max(least, STEP * k), min(at, STEP * k + STEP - 1)
+                        rows.append(row)
+                        first.append(at - far)
+                        last.append(at - near)
+                        common.append(xxhash.xxh3_128_digest(piece[at - STEP * k : at - STEP * k - STEP + 1 + length], k))
+                        whole.append(xxhash.xxh3_128_digest(piece[at - far : at - near + length], far << 32 | near))
+                if rows:
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[part.column(c).take(take) for c in ("anchor", "n1", "n2")],
+                            pa.array(first, pa.int32()), pa.array(last, pa.int32()), *_digests(common), *_digests(whole),
+                        ],
+                        ["anchor", "n1", "n2", "first", "last", "c1", "c2", "w1", "w2"],
+                    )
+
+    return run
+
+
+def _strings(length: int):
+    """Every string of the open blocks of a segment: where it starts and its hash with its distance from the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(iter([batch]), "content", BATCH):
+                rows, starts, found = [], [], []
+                columns = (part.column(c).to_pylist() for c in ("content", "inside", "blocks"))
+                for row, (piece, at, blocks) in enumerate(zip(*columns)):
+                    for b in blocks:
+                        for start in range(b["first"], b["last"] + 1):
+                            rows.append(row)
+                            starts.append(start)
+                            found.append(xxhash.xxh3_128_digest(piece[start : start + length], at - start))
+                if rows:
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c).take(take) for c in ("anchor", "n1", "n2")], pa.array(starts, pa.int32()), *_digests(found)],
+                        ["anchor", "n1", "n2", "start", "s1", "s2"],
+                    )
+
+    return run
+
+
+def _joined_runs(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = []
+            for blocks in batch.column("blocks").to_pylist():
+                own: list[int] = []
+                for a, b in sorted((x["first"], x["last"] + length) for x in blocks):
+                    if own and a <= own[-1]:
+                        own[-1] = max(own[-1], b)
+                    else:
+                        own += [a, b]
+                runs.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("anchor", "n1", "n2")], pa.array(runs, pa.list_(pa.int64()))], ["anchor", "n1", "n2", "runs"]
+            )
+
+    return run
+
+
+def _of_hot(segments: DataFrame, length: int) -> DataFrame:
+    """(anchor, n1, n2, runs) as of ``_shards``, without bringing the segments of an anchor together."""
+    name = ["anchor", "n1", "n2"]
+    segments = stored(segments, "repeat-hot")
+    blocks = segments.mapInArrow(
+        _blocks(length), "anchor long, n1 long, n2 long, first int, last int, c1 long, c2 long, w1 long, w2 long"
+    )
+    blocks = stored(blocks, "repeat-blocks")
+
+    def several(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("own").alias("one")).where("n > 1").drop("n")
+
+    # blocks that are equal as a whole are repeated, but others may share some of their strings: one of them stands for all
+    keyed = blocks.withColumn("own", F.xxhash64(*name))
+    agree = keyed.join(several(keyed, "c1", "c2"), ["c1", "c2"], "left_semi")
+    agree = agree.join(several(keyed, "w1", "w2"), ["w1", "w2"], "left").select(
+        *name, F.col("one").isNotNull().alias("whole"), F.coalesce(F.col("one") == F.col("own"), F.lit(True)).alias("open"),
+        F.struct("first", "last").alias("block"),
+    )
+    agree = stored(agree, "repeat-agree")
+    unsure = agree.where("open").groupBy(*name).agg(F.collect_list("block").alias("blocks"))
+    strings = segments.join(unsure, name).mapInArrow(_strings(length), "anchor long, n1 long, n2 long, start int, s1 long, s2 long")
+    strings = stored(strings, "repeat-strings").withColumn("own", F.xxhash64(*name))
+    strings = strings.join(several(strings, "s1", "s2"), ["s1", "s2"], "left_semi")
+    strings = strings.select(*name, F.struct(F.col("start").alias("first"), F.col("start").alias("last")).alias("block"))
+    found = agree.where("whole").select(*name, "block").unionByName(strings)
+    found = found.groupBy(*name).agg(F.collect_list("block").alias("blocks"))
+    return found.mapInArrow(_joined_runs(length), "anchor long, n1 long, n2 long, runs array<long>")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, spans, sizes = [], [], []
@@ -250,11 +364,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     places = stored(places, "repeat-places")
 
     name = ["anchor", "n1", "n2"]
-    segments = places.groupBy(*name).agg(F.max("content").alias("content"), F.max("inside").alias("inside"))
-    several = segments.repartition("anchor").sortWithinPartitions("anchor")
+    hot = places.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > shard).select("anchor")
+    hot = stored(hot, "repeat-anchors")
+    some = not hot.isEmpty()
+    warm, cool = parted(places, F.col("anchor"), hot, "anchor") if some else (None, places)
+
+    def different(places: DataFrame) -> DataFrame:
+        return places.groupBy(*name).agg(F.max("content").alias("content"), F.max("inside").alias("inside"))
+
+    several = different(cool).repartition("anchor").sortWithinPartitions("anchor")
     partly = several.mapInArrow(
         _shards(length, new_path(spark, "repeat-queues"), most, shard), "anchor long, n1 long, n2 long, runs array<long>"
     )
+    if some:
+        partly = partly.unionByName(_of_hot(different(warm), length))
     wholly = places.groupBy(*name).agg(F.sum(F.size("starts")).alias("n"), F.max("size").cast("long").alias("size"))
     wholly = wholly.where("n > 1").select(*name, F.array(F.lit(0).cast("long"), F.col("size")).alias("runs"))
     marks = stored(wholly.unionByName(partly.where(F.size("runs") > 0)), "repeat-marks")

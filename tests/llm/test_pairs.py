@@ -139,6 +139,38 @@ def test_byte_repeats_equal_brute_force(spark):
     assert repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_no_sort_holds_a_common_passage_of_all_documents(spark, monkeypatch):
+    rng = random.Random(12)
+    passage, edge = some_words(rng, 130), some_words(rng, 12)
+    rows = [(i, some_words(rng, rng.randint(0, 90)) + " " + (edge if i % 3 == 0 else "") + passage + some_words(rng, 60)) for i in range(150)]
+    rows += [(i, rows[i][1]) for i in range(3)]
+    rows += [(200 + i, rows[i][1][100:900] + some_words(rng, 9)) for i in range(4)]
+    shard, real = 10_000, repeats._shards
+
+    def bounded(length, folder, most, shard):
+        own = real(length, folder, most, shard)
+
+        def run(batches):
+            sizes = {}
+
+            def watched():
+                for batch in batches:
+                    for anchor, content in zip(batch.column("anchor").to_pylist(), batch.column("content").to_pylist()):
+                        sizes[anchor] = sizes.get(anchor, 0) + len(content)
+                        assert sizes[anchor] <= shard, "all segments of an anchor in one task"
+                    yield batch
+
+            return own(watched())
+
+        return run
+
+    monkeypatch.setattr(repeats, "_shards", bounded)
+    for length in (400, 201):
+        got = repeats.remove_repeats(frame(spark, rows), length, most=500, shard=shard).collect()
+        want = brute.cut_repeats([t.encode() for _, t in rows], length)
+        assert Counter((r.doc_id, bytes(r.kept), len(r.spans)) for r in got) == Counter((i, kept, spans) for (i, _), (kept, _, spans) in zip(rows, want))
+
+
 def test_pipeline_stages_equal_brute_force(spark, sf, path=None):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][1:4] == ["n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination"]
