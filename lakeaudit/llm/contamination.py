@@ -1,15 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
-
-Items are partitioned by the size of their shingle set, by powers of two. For the
-partition of sizes [s, 2s) a document is cut into windows of 4s shingles, one every
-2s, so that an item's place lies whole in a window of its own order of size and a
-short item is not lost in a long text. Items and windows are sketched by one
-permutation: hashes fall into bins, the least of each bin is kept. A document and an
-item with a common value in a window are a candidate; exact shingle containment over
-the whole document decides.
-
-A window's value can only match if it is a value of an item of that partition. So
-windows are sketched around such shingles alone, which gives the same values.
+"""Benchmark decontamination: exact shingle containment.
+
+Documents' shingles that no item has are dropped in the task that makes them, by a bit
+set of all items' shingles. The others are joined with the items' shingles and counted
+for each document and item over the whole document, so the share is exact and every
+document that holds an item is found. A sketch of windows could only lose some: a short item
+has few shingles, and each may be hidden by a smaller one of the same bin.
 """
 
 from __future__ import annotations
@@ -25,81 +20,39 @@ from lakeaudit.llm.common import (
     SHINGLE_WORDS, SIMILARITY, bit_array, distinct_sets, in_bits, list_column, lists, mix, shingles, small_batches, stored, word_hashes,
 )
 
-#: Bins of a sketch for each shingle of a window; 64-bit words of the bit sets that tasks hold.
-BINS_PER_SHINGLE = 8
+#: 64-bit words of the bit set that tasks hold.
 BIT_WORDS = 1 << 18
 _BATCH_WORDS = 1_000_000
 
 
-def _window(size_class: int) -> int:
-    return 4 << size_class
-
-
-def _keyed(hashes: np.ndarray, size_class: int) -> np.ndarray:
-    return mix(hashes ^ mix(np.array([size_class + 1], np.uint64)))
-
-
-def _item_sketches(n: int):
+def _item_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, counts = distinct_sets(*shingles(*lists(batch.column("words")), n))
-            keys, sizes, classes, names = [], [], [], []
-            for start, count in zip(np.cumsum(counts) - counts, counts):
-                own = values[start : start + count]
-                c = int(count).bit_length() - 1 if count else 0
-                bins = own & np.uint64(_window(c) * BINS_PER_SHINGLE - 1)
-                # the values are in ascending order: the first of a bin is its least
-                least = own[np.unique(bins, return_index=True)[1]]
-                keys.append(_keyed(least, c))
-                sizes.append(len(least))
-                classes.append(c)
-                names.append((mix(own).sum(dtype=np.uint64) if count else np.uint64(0)).view(np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)))
+            ends = np.cumsum(counts)
+            names = (sums[ends] - sums[ends - counts]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("item_id"), pa.array(names, pa.int64()), pa.array(classes, pa.int32()),
-                    list_column(values.view(np.int64), counts, pa.int64()), list_column(flat.view(np.int64), np.array(sizes, int), pa.int64()),
-                ],
-                ["item_id", "name", "size_class", "set", "keys"],
+                [batch.column("item_id"), pa.array(names, pa.int64()), list_column(values.view(np.int64), counts, pa.int64())],
+                ["item_id", "name", "set"],
             )
 
     return run
 
 
-def _document_hits(n: int, classes: list[int], key_bits, set_bits):
-    """(doc_id, kind, value): sketch values of windows (kind 0) and shingles (kind 1) that an item may have."""
-
-    def smallest(own: np.ndarray, p: int, c: int) -> bool:
-        """Whether shingle ``p`` is the least of its bin in a window that holds it."""
-        width, step = _window(c), _window(c) // 2
-        mask = np.uint64(width * BINS_PER_SHINGLE - 1)
-        for first in {max(p // step - 1, 0), p // step}:
-            window = own[first * step : first * step + width]
-            if not ((window < own[p]) & ((window & mask) == (own[p] & mask))).any():
-                return True
-        return False
+def _document_hits(n: int, set_bits):
+    """(doc_id, value): shingles that an item may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets = key_bits.value, set_bits.value
+        sets = set_bits.value
         for batch in batches:
             for part in small_batches(iter([batch]), "words", _BATCH_WORDS):
                 own, counts = shingles(*lists(part.column("words")), n)
-                starts = np.cumsum(counts) - counts
                 doc = np.repeat(np.arange(len(counts)), counts)
                 maybe = np.flatnonzero(in_bits(sets, own))
-                found = [(doc[maybe], np.ones(len(maybe), np.int32), own[maybe])]
-                for c in classes:
-                    keyed = _keyed(own[maybe], c)
-                    near = np.flatnonzero(in_bits(keys, keyed))
-                    near = [x for x in near if smallest(
-                        own[starts[d := doc[maybe[x]]] : starts[d] + counts[d]], maybe[x] - starts[d], c)]
-                    found.append((doc[maybe[near]], np.zeros(len(near), np.int32), keyed[near]) if near else (doc[:0], np.zeros(0, np.int32), own[:0]))
-                d, kind, value = (np.concatenate(x) for x in zip(*found))
-                if len(d):
-                    rows = np.unique(np.rec.fromarrays((d, kind, value.view(np.int64))))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(rows.f0)), pa.array(rows.f1), pa.array(rows.f2)], ["doc_id", "kind", "value"]
-                    )
+                if len(maybe):
+                    rows = np.unique(np.rec.fromarrays((doc[maybe], own[maybe].view(np.int64))))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows.f0)), pa.array(rows.f1)], ["doc_id", "value"])
 
     return run
 
@@ -119,26 +72,20 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, n
     spark = docs.sparkSession
     own = items.where(F.col("item_id").isNotNull()).select("item_id", word_hashes(F.col("text").cast("string")).alias("words"))
     kind = items.schema["item_id"].dataType.simpleString()
-    own = own.mapInArrow(_item_sketches(n), f"item_id {kind}, name long, size_class int, set array<long>, keys array<long>")
-    own = own.where(F.size("set") > 0).groupBy("name", "size_class", "set", "keys").agg(
+    own = own.mapInArrow(_item_sets(n), f"item_id {kind}, name long, set array<long>")
+    own = own.where(F.size("set") > 0).groupBy("name", "set").agg(
         F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items")
     )
     own = stored(own, "contamination-items")
-    sketches = own.select("item_id", F.explode("keys").alias("value"))
     sets = own.select("item_id", "n_items", F.size("set").alias("n_shingles"), F.explode("set").alias("value"))
-    classes = sorted(r[0] for r in own.select("size_class").distinct().collect())
-    key_bits = spark.sparkContext.broadcast(bit_array(sketches, "value", BIT_WORDS))
     set_bits = spark.sparkContext.broadcast(bit_array(sets, "value", BIT_WORDS))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = docs.where(F.col("doc_id").isNotNull()).select("doc_id", word_hashes(F.col("text").cast("string")).alias("words"))
-    hits = stored(hits.mapInArrow(_document_hits(n, classes, key_bits, set_bits), f"doc_id {kind}, kind int, value long"), "contamination-hits")
-    near = hits.where("kind = 0").join(sketches, "value").select("doc_id", "item_id").distinct()
-    shared = hits.where("kind = 1").select("doc_id", "value").distinct().join(sets, "value")
+    hits = stored(hits.mapInArrow(_document_hits(n, set_bits), f"doc_id {kind}, value long"), "contamination-hits")
+    shared = hits.distinct().join(sets, "value")
     shared = shared.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_shared"), F.first("n_items").alias("n_items"), F.first("n_shingles").cast("long").alias("n_shingles")
     )
     share = F.col("n_shared") / F.col("n_shingles")
-    return shared.where(share >= least - 1e-12).join(near, ["doc_id", "item_id"]).select(
-        "doc_id", "item_id", "n_items", "n_shared", "n_shingles", share.alias("containment")
-    )
+    return shared.where(share >= least - 1e-12).select("doc_id", "item_id", "n_items", "n_shared", "n_shingles", share.alias("containment"))

@@ -111,6 +111,15 @@ def test_decontamination_equals_brute_force(spark):
     assert contamination.contaminated(frame(spark, rows), given_items.limit(0)).count() == 0
 
 
+def test_no_short_item_is_lost(spark):
+    rng = random.Random(6)
+    items = {i: some_words(rng, 5 + i % 2) for i in range(900)}
+    docs = {n: " ".join([some_words(rng, rng.randint(0, 30)) + " " + items[i] for i in range(n, 900, 60)]) for n in range(60)}
+    given_items = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = contamination.contaminated(frame(spark, list(docs.items())), given_items).collect()
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == brute.leaks(docs, items)
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.integers(1, 4).flatmap(lambda k: st.lists(st.integers(1, k * k), max_size=70)), st.sampled_from([2, 30, 1 << 20]))
 def test_suffixes_in_order(tmp_path_factory, numbers, most):
