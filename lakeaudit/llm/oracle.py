@@ -75,9 +75,53 @@ select doc_id, (select min(b) from reach where a = doc_id) as class_id, coalesce
 from documents left join links on a = doc_id
 """
 
+_LISTED = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_PASSAGES = f"""
+with d as materialized (select doc_id, {_LISTED} as w from documents),
+later as (
+  select doc_id, i from (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as k
+    from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d))
+  qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + j as p from later cross join range(20) t(j)),
+cut as (select doc_id, list(p) as ps, count(*) as n_removed, count(*) filter (lag is null or lag < p - 1) as n_spans
+  from (select doc_id, p, lag(p) over (partition by doc_id order by p) as lag from gone) group by doc_id),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d where doc_id in (select doc_id from cut)),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(case when n_removed is null then array_to_string(w, ' ') else coalesce(t, '') end) as kept_sha256
+from d left join cut using (doc_id) left join kept using (doc_id)
+"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PHRASES = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from pieces),
+f as materialized (
+  select lang, size, phrase, count(*) as f from (
+    select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase from (
+      select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from w cross join (values (1), (2), (3)) s(size)))
+  group by all),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1 and f >= 10),
+cuts as (select *, array_to_string(w[:k], ' ') as p, array_to_string(w[k + 1:], ' ') as q from c cross join (values (1), (2)) t(k) where k < size),
+scored as (
+  select cuts.lang, cuts.phrase, cuts.size, a, x.f as l, y.f as r, ((1000000 * a::hugeint * a) // (x.f::hugeint * y.f))::bigint as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = p and x.size = k join f y on y.lang = cuts.lang and y.phrase = q and y.size = cuts.size - k
+  qualify row_number() over (partition by cuts.lang, cuts.phrase order by score, k) = 1),
+longer as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(a) as most from c cross join (values (1), (2)) t(i) where size = 3 group by all)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from scored join n using (lang) left join longer using (lang, phrase) where size = 3 or most is null or 100 * most < 50 * a
+qualify rank <= 2000
+"""
+
 ORACLE = {
     "op1_chat_formatting": _CHAT,
     "op3_topk_search": _TOPK,
     "op5_decontamination": _LEAKS,
     "op8_ngram_jaccard": _NEAR,
+    "op11_passage_dedup": _PASSAGES,
+    "op13_collocations": _PHRASES,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.llm import chat, contamination, edits, jaccard, licenses, order, ordinal, repeats, topk, wordtable
+from lakeaudit.llm import (
+    chat, contamination, edits, jaccard, licenses, order, ordinal, passages, periods, phrases, repeats, topk, wordtable,
+)
 from lakeaudit.llm.common import table
 from lakeaudit.llm.pieces import default_path
 from lakeaudit.session import new_path
@@ -74,6 +76,19 @@ def byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.remove_passages(table(spark, sf_dir, "documents")))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, after about every tenth one's tail was made periodic."""
+    return periods.digest(periods.periodic_runs(periods.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat_formatting,
     "op2_edited_counts": edited_counts,
@@ -85,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": near_duplicates,
     "op9_license_scan": license_scan,
     "op10_byte_repeats": byte_repeats,
+    "op11_passage_dedup": passage_dedup,
+    "op12_periodic_runs": periodic_runs,
+    "op13_collocations": collocations,
 }

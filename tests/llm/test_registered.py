@@ -12,6 +12,10 @@ COLUMNS = {
     "op7_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op9_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
     "op10_byte_repeats": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
+    "op11_passage_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op12_periodic_runs": {
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+    },
 }
 
 
