@@ -172,12 +172,13 @@ def test_a_very_long_periodic_text(spark):
 def phrase_brute(rows, least, top, most=3):
     f, n = Counter(), Counter()
     for lang, text in rows:
+        lang = "und" if lang is None else lang
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
             own = [w for w in re.split(r"[\x20\x09]+", piece) if w]
-            n[lang or "und"] += len(own)
+            n[lang] += len(own)
             for size in range(1, most + 1):
-                f.update((lang or "und", *own[i : i + size]) for i in range(len(own) - size + 1))
+                f.update((lang, *own[i : i + size]) for i in range(len(own) - size + 1))
     some = {k: a for k, a in f.items() if len(k) > 2 and a >= least}
     out = []
     for (lang, *words), a in some.items():
