@@ -7,10 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeaudit.functions import paths
-from lakeaudit.operators.skew import HOT_ROWS, hot_keys
-from lakeaudit.session import cut_lineage
-
-MAX_BLOCKS = 20_000
+from lakeaudit.operators.ordered import block_totals, from_blocks, in_blocks
 
 
 def _quoted(path: Column) -> Column:
@@ -43,14 +40,15 @@ def _mark_runs(files: DataFrame) -> DataFrame:
 def _carry(marked: DataFrame) -> DataFrame:
     """(name, _block, _in_rep): the representative a block's first run continues.
 
-    Works on one row per name and block.
+    The state of a block is its first and last size, its last representative and its number of
+    runs; states of neighbours merge. Works on one row per block of a cut name.
     """
-    blocks = marked.groupBy("name", "_block").agg(
+    blocks = block_totals(marked, ["name"], [
         F.min_by("length", "_key").alias("_first"),
         F.max_by("length", "_key").alias("_last"),
         F.max_by("rep", "_key").alias("_rep"),
         F.max("_run").alias("_runs"),
-    )
+    ])
     w = W.partitionBy("name").orderBy("_block")
     joins = F.col("_first").eqNullSafe(F.lag("_last").over(w)) & (F.row_number().over(w) > 1)
     # A block of one run that continues keeps the representative it received.
@@ -63,46 +61,23 @@ def _carry(marked: DataFrame) -> DataFrame:
     )
 
 
-def dup_files(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dup_files(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """(path, rep, rm_cmd, ln_cmd) for every duplicate file.
 
     Walking depth-first, the last representative of each name is kept: a file
     of the same size is its duplicate, one of another size takes its place.
     That makes runs of equal consecutive sizes within a name.
 
-    A name with more than ``hot_rows`` files is cut into range-sorted blocks,
-    and runs are found per block. The block borders come from sampling, so the
-    marked rows are checkpointed once and both later steps see the same borders:
-    runs that cross a border are joined through a table of one row per name and
-    block, at most MAX_BLOCKS + rows / hot_rows of them, which is broadcast.
+    Names are cut into blocks by their share of the files (``ordered.in_blocks``), runs are found per block,
+    and the first run of a block takes over the representative of the blocks before
+    it, through one row per block of a cut name.
     """
     # The sort key stands for the path until the end, so only one of them is shuffled.
     files = entries.where(~F.col("is_dir")).select(
         "name", "length", paths.dfs_key(F.col("path")).alias("_key")
     )
-    hot = hot_keys(files, "name", hot_rows)
-    # One row comes back: the number of blocks all hot names need together.
-    wanted = hot.agg(F.sum("_parts")).first()[0]
-    none = F.lit(None).cast("int")
-    if not wanted:
-        found = _mark_runs(files.withColumn("_block", none)).where(F.col("_new") == 0)
-    else:
-        is_hot = F.col("name") == F.col("_hot_key")
-        ranged = (
-            files.join(F.broadcast(hot), is_hot)
-            .select(*files.columns)
-            .repartitionByRange(max(2, min(int(wanted), MAX_BLOCKS)), "name", "_key")
-            .withColumn("_block", F.spark_partition_id())
-        )
-        marked = cut_lineage(_mark_runs(ranged))
-        rep = F.when(F.col("_run") == 1, F.coalesce("_in_rep", "rep")).otherwise(F.col("rep"))
-        split = (
-            marked.where((F.col("_new") == 0) | (F.col("_row") == 1))
-            .join(F.broadcast(_carry(marked)), ["name", "_block"], "left")
-            .where((F.col("_new") == 0) | F.col("_in_rep").isNotNull())
-            .withColumn("rep", rep)
-        )
-        cold = files.join(F.broadcast(hot), is_hot, "left_anti").withColumn("_block", none)
-        plain = _mark_runs(cold).where(F.col("_new") == 0)
-        found = plain.select("_key", "rep").unionByName(split.select("_key", "rep"))
+    marked = _mark_runs(in_blocks(files, ["name"], "_key", parts).repartition("name", "_block"))
+    rep = F.when(F.col("_run") == 1, F.coalesce("_in_rep", "rep")).otherwise(F.col("rep"))
+    found = from_blocks(marked, ["name"], _carry(marked)).where((F.col("_new") == 0) | F.col("_in_rep").isNotNull())
+    found = found.where((F.col("_new") == 0) | (F.col("_row") == 1)).select("_key", rep.alias("rep"))
     return found.select(*_columns(paths.from_dfs_key(F.col("_key")), paths.from_dfs_key(F.col("rep"))))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions.numbers import div
 from lakeaudit.operators.ordered import ranked, running
-from lakeaudit.operators.skew import HOT_ROWS
 
 
 def _rows() -> Column:
@@ -75,7 +74,7 @@ def throughput(log: DataFrame) -> DataFrame:
     return _throughput(log, "op")
 
 
-def mode_split(log: DataFrame, read_share: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mode_split(log: DataFrame, read_share: float, parts: int | None = None) -> DataFrame:
     """The same rollup by mode, where the first floor(workers * share) workers read.
 
     Workers are ordered by number. Both modes are always reported. The log is
@@ -85,7 +84,7 @@ def mode_split(log: DataFrame, read_share: float, hot_rows: int = HOT_ROWS) -> D
     per_worker = log.groupBy("worker").agg(
         F.sum("items").alias("items"), F.sum("elapsed").alias("elapsed")
     )
-    numbered = ranked(per_worker, [], "worker", "_rank", hot_rows)
+    numbered = ranked(per_worker, [], "worker", "_rank", parts)
     readers = per_worker.agg(F.floor(_rows() * F.lit(read_share))).scalar()
     reads = F.col("_rank") <= readers
 
@@ -131,7 +130,7 @@ def cpu_usage(log: DataFrame, cpu: str = "gc", wall: str = "elapsed") -> DataFra
     )
 
 
-def running_max(log: DataFrame, every: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_max(log: DataFrame, every: int, parts: int | None = None) -> DataFrame:
     """Running count and longest time of each worker at every ``every``-th operation.
 
     Operations up to a report are whole groups of ``every``, so the log is
@@ -145,7 +144,7 @@ def running_max(log: DataFrame, every: int, hot_rows: int = HOT_ROWS) -> DataFra
     )
     aggs = {"calls": ("sum", "_n"), "max_elapsed": ("max", "_m")}
     return (
-        running(groups, ["worker"], "_g", aggs, hot_rows=hot_rows)
+        running(groups, ["worker"], "_g", aggs, parts=parts)
         .where("_full")
         .select("worker", (F.col("_g") * every).alias("seq"), "calls", "max_elapsed")
     )
@@ -157,23 +156,23 @@ def milestones(log: DataFrame) -> DataFrame:
     return log.where(F.col("seq").isin(powers))
 
 
-def running_total(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_total(log: DataFrame, parts: int | None = None) -> DataFrame:
     """Items created before and after each iteration, over all workers."""
     per_iteration = log.groupBy("seq").agg(
         F.sum("items").alias("items"), F.sum("elapsed").alias("elapsed")
     )
     before = {"items_before": ("sum", "items")}
-    return running(per_iteration, [], "seq", before, exclusive=True, hot_rows=hot_rows).withColumn(
+    return running(per_iteration, [], "seq", before, exclusive=True, parts=parts).withColumn(
         "items_after", F.col("items_before") + F.col("items")
     )
 
 
-def id_gap(ids: DataFrame, col: str, start: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def id_gap(ids: DataFrame, col: str, start: int | None = None, parts: int | None = None) -> DataFrame:
     """Difference of every id to the one before it; ``start`` precedes the first.
 
     The id before is the largest smaller one, which is a running maximum.
     """
-    prev = running(ids.select(col), [], col, {"prev": ("max", col)}, True, hot_rows)
+    prev = running(ids.select(col), [], col, {"prev": ("max", col)}, True, parts)
     before = F.col("prev") if start is None else F.coalesce("prev", F.lit(start).cast("bigint"))
     return prev.select(col, (F.col(col) - before).alias("gap"))
 

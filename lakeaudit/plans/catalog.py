@@ -362,13 +362,8 @@ def tail_n(spark, sf):
 
 @query
 def record_verify(spark, sf):
-    """Every record that fails, and whether the tail check alone would see it."""
-    checked = records.tail_n(V.records(spark, sf), P.TAIL)
-    tail = records.record_verify(checked).select("file", "pos", F.lit(True).alias("_tail"))
-    bad = records.record_verify(V.records(spark, sf))
-    return bad.join(tail, ["file", "pos"], "left").select(
-        "file", "pos", "value", F.coalesce("_tail", F.lit(False)).alias("in_tail")
-    )
+    """Every record that fails, and whether the tail check or the sample check would see it."""
+    return records.verified(V.records(spark, sf), P.TAIL, P.ONE_IN)
 
 
 # --- scalar functions ------------------------------------------------------------------------

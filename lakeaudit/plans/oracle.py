@@ -441,7 +441,8 @@ ORACLE: dict[str, str] = {
     ),
     "record_verify": with_views(
         ["fx_records"],
-        f"""select file, pos, value, from_end<={P.TAIL} as in_tail from (
+        f"""select file, pos, value, from_end<={P.TAIL} as in_tail,
+          cast('0x'||substr(md5('0/'||file||'/'||cast(pos as varchar)),1,8) as bigint)%{P.ONE_IN}=0 as in_sample from (
           select *, row_number() over (partition by file order by pos desc) as from_end from fx_records)
         where value<>pos""",
     ),

@@ -21,5 +21,6 @@ REPORT_EVERY = 10
 EXPECTED_CHILDREN = 10
 TOP = 10
 TAIL = 100
+ONE_IN = 4
 WINDOW = "10 seconds"
 DELAY = "10 seconds"

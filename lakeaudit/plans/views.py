@@ -260,13 +260,12 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Offset records; every 97th is corrupt. The few files are numbered in blocks."""
+    """Offset records, stored as a data file's records are; every 97th is corrupt."""
     events = table(spark, sf, "events").select(F.col("event_type").alias("file"), "event_id")
     pos = (F.col("_n") - 1) * 8
     wrong = F.when(F.col("event_id") % 97 == 0, 8).otherwise(0)
-    return ranked(events, ["file"], "event_id", "_n").select(
-        "file", pos.alias("pos"), (pos + wrong).alias("value")
-    )
+    numbered = ranked(events, ["file"], "event_id", "_n")
+    return stored(numbered.select("file", pos.alias("pos"), (pos + wrong).alias("value")), "records")
 
 
 def size_texts(spark: SparkSession, sf: str) -> DataFrame:

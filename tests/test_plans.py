@@ -1,11 +1,10 @@
 """What the physical plans must and must not contain."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lakeaudit.plans.catalog import QUERIES
-from lakeaudit.operators import inventory, records
+from lakeaudit.operators import inventory
 from lakeaudit.plans import views as V
 
 WRITES = {k for k in QUERIES if k.startswith(("sink_", "stream_", "src_listing", "kv_dump", "table_"))}
@@ -38,9 +37,3 @@ def test_scans_read_only_what_is_needed(spark, sf):
 def test_top_dirs_sorts_in_heaps(spark, sf):
     text = plan(inventory.top_dirs(V.entries(spark, sf), 5))
     assert text.count("TakeOrderedAndProject") >= 3 and "Window" not in text
-
-
-def test_tail_cuts_groups_before_the_shuffle(spark, sf):
-    df = V.table(spark, sf, "events").select(
-        F.col("event_type").alias("file"), F.col("event_id").alias("pos"), F.col("user_id").alias("value"))
-    assert plan(records.tail_n(df, 100)).count("WindowGroupLimit") >= 2

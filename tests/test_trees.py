@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeaudit.operators import duplicates, inventory, trees
+from lakeaudit.operators import duplicates, inventory, ordered, trees
 from tests.trees import (
     CUTOFF,
     kids,
@@ -80,26 +80,46 @@ def test_cutoff_does_not_overflow(spark):
 
 
 @pytest.mark.parametrize("seed", SEEDS)
-@pytest.mark.parametrize("hot_rows", [2, 5, 1_000_000])
-def test_duplicates(spark, seed, hot_rows):
+@pytest.mark.parametrize("parts", [1, 100])
+def test_duplicates(spark, seed, parts, monkeypatch):
+    monkeypatch.setattr(ordered, "_ONE_IN", 1)
     tree = random_tree(seed, depth=5)
-    found = duplicates.dup_files(to_df(spark, tree), hot_rows).collect()
+    found = duplicates.dup_files(to_df(spark, tree), parts).collect()
     assert sorted((r.path, r.rep) for r in found) == sorted(walk_duplicates(tree)) and found
     assert found[0].rm_cmd == f"rm -rf '{found[0].path}'"
     assert found[0].ln_cmd == f"ln -s '{found[0].rep}' '{found[0].path}'"
 
 
-@pytest.mark.parametrize("hot_rows", [1, 2, 1_000_000])
-def test_duplicate_chain(spark, hot_rows):
+@pytest.mark.parametrize("parts", [1, 4, 100])
+def test_duplicate_chain(spark, parts, monkeypatch):
     """Sizes A A B A: only the second is a duplicate; a long run keeps its first path."""
+    monkeypatch.setattr(ordered, "_ONE_IN", 1)
     sizes = [7, 7, 8, 7] + [7] * 20 + [None, None]
     rows = [(f"d{i:02d}/x", "x", s, False) for i, s in enumerate(sizes)]
     df = spark.createDataFrame(rows, "path string, name string, length bigint, is_dir boolean")
-    out = sorted((r.path, r.rep) for r in duplicates.dup_files(df, hot_rows).collect())
+    out = sorted((r.path, r.rep) for r in duplicates.dup_files(df, parts).collect())
     run = [(f"d{i:02d}/x", "d03/x") for i in range(4, 24)]
     assert out == [("d01/x", "d00/x"), *run, ("d25/x", "d24/x")]
 
 
+def test_duplicates_of_a_name_with_half_of_all_files(spark, monkeypatch):
+    """Runs far longer than a block keep their first path."""
+    monkeypatch.setattr(ordered, "_ONE_IN", 1)
+    sizes = [1] * 700 + [2, 1] * 50 + [3] * 700
+    rows = [(f"d{i:05d}/hot", "hot", s, False) for i, s in enumerate(sizes)]
+    rows += [(f"e{i:05d}/n{i % 300}", f"n{i % 300}", i % 600 // 300, False) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "path string, name string, length bigint, is_dir boolean")
+    last, want = {}, set()
+    for path, name, size, _ in sorted(rows):
+        if name in last and last[name][0] == size:
+            want.add((path, last[name][1]))
+        else:
+            last[name] = (size, path)
+    for parts in (16, 200):
+        got = [(r.path, r.rep) for r in duplicates.dup_files(df.repartition(5), parts).collect()]
+        assert set(got) == want and len(got) == len(want) > 1_300
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 @pytest.mark.parametrize("hot_rows", [1, 1_000_000])
 def test_counts(spark, seed, hot_rows):
