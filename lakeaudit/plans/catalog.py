@@ -21,6 +21,7 @@ from lakeaudit.operators import (
     runs,
     trees,
 )
+from lakeaudit.operators.inventory import drop_hidden
 from lakeaudit.plans import params as P
 from lakeaudit.plans import views as V
 from lakeaudit.session import new_path
@@ -47,22 +48,26 @@ def _seek() -> Column:
 # --- sources and sinks -------------------------------------------------------
 
 
+def _listed(found: DataFrame) -> DataFrame:
+    """Entries of a written folder, without Spark's own files, and with the task's name taken out of a data file's."""
+    path = F.regexp_replace("path", "/part-[^/]*$", "/data")
+    return drop_hidden(found).where("name <> '_SUCCESS'").select(path.alias("path"), "is_dir", "listed", "length", F.col("mtime").isNotNull().alias("has_mtime"))
+
+
 @query
 def src_listing(spark, sf):
-    """Lists a real tree written from the runs table; per directory its content."""
-    root = new_path(spark, "tree")
-    sinks.overwrite(V.runs(spark, sf), root, ["suite", "level"])
-    found = listing.list_tree(spark, root)
-    kids = found.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("path")).agg(
-        F.count_if("is_dir").alias("n_dirs"),
-        F.max(F.col("name").endswith(".parquet")).alias("has_data"),
-    )
-    return (
-        found.where("is_dir")
-        .select("path", "listed")
-        .join(kids, "path", "left")
-        .select("path", "listed", F.coalesce("n_dirs", F.lit(0)).alias("n_dirs"), F.coalesce("has_data", F.lit(False)).alias("has_data"))
-    )
+    """Lists, level by level, a folder of text files written from the documents: directories and files with their lengths."""
+    root = new_path(spark, "shelves")
+    sinks.write_texts(V.shelves(spark, sf), root, "line", ["lang", "shelf"])
+    return _listed(listing.list_tree(spark, root))
+
+
+@query
+def src_fs_listing(spark, sf):
+    """The same folder through the lazy data source, a group of sub-trees for each task."""
+    root = new_path(spark, "shelves")
+    sinks.write_texts(V.shelves(spark, sf), root, "line", ["lang", "shelf"])
+    return _listed(listing.fs_listing(spark, root))
 
 
 @query
@@ -73,7 +78,17 @@ def src_children(spark, sf):
 
 @query
 def src_read_verify(spark, sf):
-    return trees.wrong_lengths(V.entries(spark, sf), V.expected(spark, sf))
+    """Reads every file of a folder and checks the number of bytes; some files were cut short, some never written."""
+    root, shelves = new_path(spark, "shelves"), V.shelves(spark, sf)
+    sinks.write_texts(shelves.where("shelf <> 7 and doc_id % 97 <> 0"), root, "line", ["lang", "shelf"])
+    folder = F.format_string("lang=%s/shelf=%d", "lang", "shelf")
+    expected = shelves.groupBy(folder.alias("parent")).agg(F.sum(F.octet_length("line") + 1).cast("bigint").alias("expected_length"))
+    files = drop_hidden(listing.list_tree(spark, root)).where("not is_dir and name <> '_SUCCESS'").select("parent", "path")
+    manifest = expected.join(files, "parent", "left").select(
+        F.coalesce("path", F.concat("parent", F.lit("/gone"))).alias("path"), "expected_length"
+    )
+    wrong = listing.read_verify(spark, root, manifest)
+    return wrong.select(paths.parent_of(F.col("path")).alias("folder"), "expected_length", "length")
 
 
 @query

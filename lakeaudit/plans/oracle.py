@@ -53,6 +53,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           'n'||cast(o_custkey as varchar) as name, cast(ascii(o_orderstatus) as bigint) as length
         from orders""",
     ),
+    "fx_shelves": (
+        [],
+        """select doc_id, doc_id%16 as shelf, 'lang='||coalesce(lang,'none') as top,
+          'lang='||coalesce(lang,'none')||'/shelf='||(doc_id%16) as folder, strlen(coalesce(text,''))+1 as bytes from documents""",
+    ),
     "fx_expected": (
         ["fx_files"],
         """select path, length + case when o_orderkey%17=0 then 1 else 0 end as expected_length
@@ -184,22 +189,26 @@ VIEWS["removable"] = (
   group by d.path""",
 )
 
+_LISTING = with_views(
+    ["fx_shelves"],
+    """select '' as path, true as is_dir, true as listed, 0 as length, true as has_mtime from (select count(*) from fx_shelves)
+    union all select distinct top, true, true, 0, true from fx_shelves
+    union all select distinct folder, true, true, 0, true from fx_shelves
+    union all select folder||'/data', false, true, sum(bytes)::bigint, true from fx_shelves group by folder""",
+)
+
 ORACLE: dict[str, str] = {
-    "src_listing": with_views(
-        ["fx_runs"],
-        """select '' as path, true as listed, count(distinct suite) as n_dirs, false as has_data from fx_runs
-        union all select 'suite='||suite, true, count(distinct level), false from fx_runs group by suite
-        union all select distinct 'suite='||suite||'/level='||level, true, 0, true from fx_runs""",
-    ),
+    "src_listing": _LISTING,
+    "src_fs_listing": _LISTING,
     "src_children": with_views(
         ["fx_entries"],
         f"select path,is_dir,length,mtime from fx_entries where parent='{P.CHILD_ROOT}'",
     ),
     "src_read_verify": with_views(
-        ["fx_entries", "fx_expected"],
-        """select m.path, expected_length, length from fx_expected m
-        left join (select * from fx_entries where not is_dir) e on m.path=e.path
-        where length is distinct from expected_length""",
+        ["fx_shelves"],
+        """select folder, sum(bytes)::bigint as expected_length, (sum(bytes) filter (written))::bigint as length
+        from (select *, shelf<>7 and doc_id%97<>0 as written from fx_shelves) group by folder
+        having sum(bytes) is distinct from sum(bytes) filter (written)""",
     ),
     "kv_scan": with_views(["fx_kv"], "select key, value from fx_kv order by key"),
     "kv_prefix": with_views(

@@ -216,6 +216,16 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def shelves(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as lines of text files, a file for each language and shelf."""
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.coalesce("lang", F.lit("none")).alias("lang"),
+        (F.col("doc_id") % 16).alias("shelf"),
+        F.coalesce("text", F.lit("")).alias("line"),
+    )
+
+
 def host_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Host lists, one per nation, with some hosts commented out."""
     mark = F.when(F.col("c_custkey") % 9 == 0, "#").otherwise("")

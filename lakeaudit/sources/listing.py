@@ -6,13 +6,18 @@ the directories of each level over all tasks and keeps every level as a written
 table, so neither a deep nor a lopsided tree leaves one task with the work.
 
 Both reach any file system that Arrow reaches (local, hdfs, s3, …). Paths are
-relative to the root; a directory that vanishes during the walk is skipped.
+relative to the root; a directory that vanishes during the walk is skipped. The children of a
+directory pass in batches; only systems that hand out a directory as one list hold it whole.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -34,8 +39,6 @@ _ARROW = pa.schema(
     ]
 )
 _BATCH = 10_000
-# Listing calls the driver makes to find sub-trees for its tasks.
-_PLAN_CALLS = 2_000
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -60,35 +63,34 @@ def _join(parent: str, name: str) -> str:
     return f"{parent}/{name}" if parent else name
 
 
-def _children(fs: pafs.FileSystem, base: str, rel: str) -> list[tuple] | None:
-    """Rows of one directory's children; None if it is gone or may not be read."""
-    where = f"{base.rstrip('/')}/{rel}" if rel else base
+def _infos(fs: pafs.FileSystem, where: str) -> Iterator[tuple]:
+    """(name, is_dir, length, mtime) of a directory's children, one after the other where the system can stream them."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(where) as found:
+            for entry in found:
+                with contextlib.suppress(FileNotFoundError):  # gone meanwhile, or a link to nothing
+                    facts = entry.stat()
+                    yield entry.name, entry.is_dir(), facts.st_size, datetime.fromtimestamp(facts.st_mtime, timezone.utc)
+        return
+    for info in fs.get_file_info(pafs.FileSelector(where, recursive=False)):
+        if info.type != pafs.FileType.NotFound:
+            yield info.base_name, info.type == pafs.FileType.Directory, info.size, info.mtime
+
+
+def _children(fs: pafs.FileSystem, base: str, rel: str) -> Iterator[tuple]:
+    """Rows of one directory's children; none if it is gone. One that may not be read is a PermissionError."""
     try:
-        infos = fs.get_file_info(pafs.FileSelector(where, recursive=False))
+        for name, is_dir, length, mtime in _infos(fs, f"{base.rstrip('/')}/{rel}" if rel else base):
+            yield _join(rel, name), is_dir, 0 if is_dir else length, mtime, True
     except FileNotFoundError:
-        return []
-    except PermissionError:
-        return None
-    rows = []
-    for info in infos:
-        if info.type == pafs.FileType.NotFound:
-            continue
-        is_dir = info.type == pafs.FileType.Directory
-        rows.append((_join(rel, info.base_name), is_dir, 0 if is_dir else info.size, info.mtime, True))
-    return rows
-
-
-def _must_list(fs: pafs.FileSystem, base: str, rel: str) -> list[tuple]:
-    found = _children(fs, base, rel)
-    if found is None:
-        raise PermissionError(rel)
-    return found
-
-
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), _BATCH):
-        columns = list(zip(*rows[at : at + _BATCH]))
-        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)]
+        return
+
+
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, never more than a batch of them at a time."""
+    rows = iter(rows)
+    while part := list(islice(rows, _BATCH)):
+        arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*part), _ARROW)]
         yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
@@ -111,7 +113,7 @@ class ListingReader(DataSourceReader):
         self.root, self.tasks = root, tasks
 
     def partitions(self) -> list[InputPartition]:
-        """Widen the tree breadth-first until there is a sub-tree for every task.
+        """Widen the tree breadth-first until there is a sub-tree for every task, with a call for each task at most.
 
         Only directory names are kept. The tasks list the directories again, so
         no files pass through the driver.
@@ -120,10 +122,10 @@ class ListingReader(DataSourceReader):
         _root_row(fs, base)
         opened: list[str] = []
         waiting = deque([""])
-        while waiting and len(waiting) < self.tasks and len(opened) < _PLAN_CALLS:
+        while waiting and len(waiting) < self.tasks and len(opened) < self.tasks:
             rel = waiting.popleft()
             opened.append(rel)
-            waiting.extend(r[0] for r in _must_list(fs, base, rel) if r[1])
+            waiting.extend(r[0] for r in _children(fs, base, rel) if r[1])
         n = max(1, min(self.tasks, max(len(opened), len(waiting))))
         whole = list(waiting)
         return [_Share(opened[i::n], whole[i::n]) for i in range(n)]
@@ -133,12 +135,12 @@ class ListingReader(DataSourceReader):
         if "" in partition.flat + partition.whole:
             yield from _batches([_root_row(fs, base)])
         for rel in partition.flat:
-            yield from _batches(_must_list(fs, base, rel))
+            yield from _batches(_children(fs, base, rel))
         stack = list(partition.whole)
         while stack:
-            found = _must_list(fs, base, stack.pop())
-            stack.extend(r[0] for r in found if r[1])
-            yield from _batches(found)
+            for batch in _batches(_children(fs, base, stack.pop())):
+                stack.extend(batch.column("path").filter(batch.column("is_dir")).to_pylist())
+                yield batch
 
 
 class ListingSource(DataSource):
@@ -181,11 +183,10 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         task_fs, task_base = _open(root)
         for batch in batches:
             for rel in batch.column(0).to_pylist():
-                found = _children(task_fs, task_base, rel)
-                if found is None:
+                try:
+                    yield from _batches(_children(task_fs, task_base, rel))
+                except PermissionError:
                     yield from _batches([(rel, True, 0, None, False)])
-                else:
-                    yield from _batches(found)
 
     spark.createDataFrame([_root_row(fs, base)], SCHEMA).write.parquet(f"{out}/level=0")
     level = 0
@@ -218,54 +219,66 @@ _CHUNK = 4 * 1024 * 1024
 def read_lengths(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """(path, expected_length, length): bytes really read from every file of a manifest.
 
-    Each file is cut into ranges of 128 MiB by its expected length, the last
-    one open-ended, so a large file is read by many tasks and none is held in
-    memory. A missing file gives a NULL length.
+    Each file is cut into ranges of 128 MiB by the size that the file system reports, the last
+    one open-ended, so a large file is read by many tasks, none is held in
+    memory, and a wrong expected length costs nothing. A missing file gives a NULL length.
     """
     root = _qualified(spark, root)
-    schema = "path string, expected_length bigint, length bigint"
-    arrow = pa.schema([("path", pa.string()), ("expected_length", pa.int64()), ("length", pa.int64())])
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(root)
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                info = fs.get_file_info(f"{base.rstrip('/')}/{row[0]}")
+                if info.type != pafs.FileType.File:
+                    yield _ranges([(*row, None, None)])
+                    continue
+                last = max(info.size - 1, 0) // _RANGE
+                for at in range(0, last + 1, _BATCH):
+                    yield _ranges([(*row, i * _RANGE, i == last) for i in range(at, min(at + _BATCH, last + 1))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         for batch in batches:
-            rows = []
-            for path, expected, start, last in zip(*[c.to_pylist() for c in batch.columns]):
-                try:
-                    rows.append((path, expected, _count(fs, f"{base.rstrip('/')}/{path}", start, last)))
-                except FileNotFoundError:
-                    rows.append((path, expected, None))
-            columns = list(zip(*rows)) or [[], [], []]
-            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            path, expected, start, last = (c.to_pylist() for c in batch.columns)
+            found = [_count(fs, f"{base.rstrip('/')}/{p}", s, x) for p, s, x in zip(path, start, last)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["path", "expected_length", "length"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest("expected_length", F.lit(0)), F.lit(_RANGE))
-    ranges = manifest.select(
-        "path",
-        "expected_length",
-        F.explode(starts).alias("start"),
-    ).withColumn("last", F.col("start") + _RANGE > F.col("expected_length"))
+    ranges = manifest.select("path", F.col("expected_length").cast("bigint")).repartition(tasks, "path").mapInArrow(
+        sized, "path string, expected_length bigint, start bigint, last boolean"
+    )
     return (
         ranges.repartition(tasks, "path", "start")
-        .mapInArrow(read, schema)
+        .mapInArrow(read, "path string, expected_length bigint, length bigint")
         .groupBy("path", "expected_length")
         .agg(F.when(F.count("length") == F.count(F.lit(1)), F.sum("length")).alias("length"))
     )
 
 
-def _count(fs: pafs.FileSystem, path: str, start: int, last: bool) -> int:
+def _ranges(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "expected_length": pa.int64(), "start": pa.int64(), "last": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def _count(fs: pafs.FileSystem, path: str, start: int | None, last: bool | None) -> int | None:
+    """Bytes read of one range; None for a file that is not there."""
+    if start is None:
+        return None
     size, left = 0, None if last else _RANGE
-    with fs.open_input_file(path) as file:
-        if start > file.size():
-            return 0
-        file.seek(start)
-        while left is None or left > 0:
-            got = len(file.read(_CHUNK if left is None else min(_CHUNK, left)))
-            if not got:
-                break
-            size += got
-            left = None if left is None else left - got
+    try:
+        with fs.open_input_file(path) as file:
+            if start > file.size():
+                return 0
+            file.seek(start)
+            while left is None or left > 0:
+                got = len(file.read(_CHUNK if left is None else min(_CHUNK, left)))
+                if not got:
+                    break
+                size += got
+                left = None if left is None else left - got
+    except FileNotFoundError:
+        return None
     return size
 
 

@@ -18,6 +18,11 @@ def write_dump(kv: DataFrame, path: str) -> None:
     kv_dump_lines(kv.orderBy("key", "value")).write.text(path)
 
 
+def write_texts(df: DataFrame, path: str, line: str, by: list[str]) -> None:
+    """A directory for each value of ``by``, with one text file of the lines of its rows."""
+    df.select(*by, line).repartition(*by).write.partitionBy(*by).text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -7,7 +7,7 @@ from lakeaudit.plans.catalog import QUERIES
 from lakeaudit.operators import inventory
 from lakeaudit.plans import views as V
 
-WRITES = {k for k in QUERIES if k.startswith(("sink_", "stream_", "src_listing", "kv_dump", "table_"))}
+WRITES = {k for k in QUERIES if k.startswith(("sink_", "stream_", "src_listing", "src_fs_", "src_read_", "kv_dump", "table_"))}
 PYTHON = ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
 
 

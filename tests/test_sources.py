@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,15 +50,75 @@ def test_roots(spark, tree):
 
 def test_a_directory_that_vanishes_is_skipped(tree):
     fs, base = listing._open(tree)
-    assert listing._children(fs, base, "no/such") == []
-
-
-def test_an_unreadable_directory_is_marked(spark, tree, monkeypatch):
-    class Refuses:
-        def get_file_info(self, selector):
-            raise PermissionError
-
-    assert listing._children(Refuses(), "/r", "d") is None
+    assert list(listing._children(fs, base, "no/such")) == []
+
+
+def test_an_unreadable_directory_is_marked(spark, tmp_path, monkeypatch):
+    """The walk goes on; a name that no task may open stands in for missing rights."""
+    (tmp_path / "closed").mkdir()
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "x").write_text("x")
+    real = listing._infos
+
+    def refuses(fs, where):
+        if where.endswith("closed"):
+            raise PermissionError(where)
+        return real(fs, where)
+
+    monkeypatch.setattr(listing, "_infos", refuses)
+    fs, base = listing._open(str(tmp_path))
+    with pytest.raises(PermissionError):
+        list(listing._children(fs, base, "closed"))
+    assert {r[0] for r in listing._children(fs, base, "open")} == {"open/x"}
+
+
+def test_children_pass_in_batches(tmp_path, monkeypatch):
+    """A directory is never held whole: rows are taken as they are asked for."""
+    taken = []
+
+    def many(fs, where):
+        for i in range(1_000_000):
+            taken.append(i)
+            yield f"f{i}", False, i, None
+
+    monkeypatch.setattr(listing, "_infos", many)
+    batch = next(listing._batches(listing._children(None, "/r", "d")))
+    assert batch.num_rows == len(taken) == listing._BATCH
+    assert batch.column("path")[7].as_py() == "d/f7"
+
+
+def test_the_folder_of_the_given_tables(spark, sf):
+    """Names, lengths and times of real files, as another engine sees them."""
+    want = duckdb.sql(f"select parse_filename(filename) as name, size, epoch(last_modified) from read_blob('{sf}/*')").fetchall()
+    for found in (listing.list_tree(spark, sf), listing.fs_listing(spark, sf, 4)):
+        rows = found.where("not is_dir").select("path", "length", F.unix_micros("mtime").alias("at")).collect()
+        assert sorted((r.path, r.length) for r in rows) == sorted((n, size) for n, size, _ in want) and len(rows) >= 14
+        times = {n: at for n, _, at in want}
+        assert all(abs(r.at / 1e6 - times[r.path]) < 1.1 for r in rows)
+
+
+def test_listing_splits_by_tasks_only(tree):
+    for tasks in (1, 3, 50):
+        shares = listing.ListingReader(tree, tasks).partitions()
+        assert len(shares) <= tasks and sum(len(s.flat) for s in shares) <= tasks
+
+
+def test_read_verify_of_written_files(spark, tmp_path):
+    """One file is cut short, one gone, one has a length far beyond its own in the manifest."""
+    root = str(tmp_path / "t")
+    sinks.write_texts(spark.range(400).select((F.col("id") % 4).alias("k"), F.col("id").cast("string").alias("line")), root, "line", ["k"])
+    files = {r.parent: r for r in listing.list_tree(spark, root).where("not is_dir and name like 'part-%'").collect()}
+    assert set(files) == {f"k={i}" for i in range(4)}
+    rows = [(r.path, r.length) for r in files.values() if r.parent != "k=3"] + [(files["k=3"].path, 10**18)]
+    full = os.path.join(root, files["k=1"].path)
+    os.truncate(full, 11)
+    os.rename(os.path.join(root, files["k=2"].path), str(tmp_path / "elsewhere"))
+    manifest = spark.createDataFrame(rows, "path string, expected_length bigint")
+    bad = {r.path: (r.expected_length, r.length) for r in listing.read_verify(spark, root, manifest).collect()}
+    assert bad == {
+        files["k=1"].path: (files["k=1"].length, 11), files["k=2"].path: (files["k=2"].length, None),
+        files["k=3"].path: (10**18, files["k=3"].length),
+    }
 
 
 def test_listing_needs_a_directory(spark, tree):
