@@ -78,7 +78,7 @@ from documents left join links on a = doc_id
 _LISTED = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 _PASSAGES = f"""
-with d as materialized (select doc_id, {_LISTED} as w from documents),
+with d as materialized (select doc_id, coalesce(length(text), 0) as n, {_LISTED} as w from documents),
 later as (
   select doc_id, i from (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as k
     from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d))
@@ -87,10 +87,11 @@ gone as (select distinct doc_id, i + j as p from later cross join range(20) t(j)
 cut as (select doc_id, list(p) as ps, count(*) as n_removed, count(*) filter (lag is null or lag < p - 1) as n_spans
   from (select doc_id, p, lag(p) over (partition by doc_id order by p) as lag from gone) group by doc_id),
 words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d where doc_id in (select doc_id from cut)),
-kept as (select doc_id, string_agg(x, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
-select doc_id, len(w) as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+kept as (select doc_id, string_agg(x, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id),
+lost as (select doc_id, sum(length(x)) as n_lost from words semi join gone using (doc_id, p) group by doc_id)
+select doc_id, (n - coalesce(n_lost, 0))::bigint as n_chars, len(w) as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(case when n_removed is null then array_to_string(w, ' ') else coalesce(t, '') end) as kept_sha256
-from d left join cut using (doc_id) left join kept using (doc_id)
+from d left join cut using (doc_id) left join kept using (doc_id) left join lost using (doc_id)
 """
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -19,15 +19,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import small_batches
+from lakeaudit.llm.common import small_batches, tidy
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest hashes.
 FIT_ROWS = 16_000
 #: Weights of the model at most: the features that tell grades apart best.
 FEATURES = 4_096
 _LEAST_Z = 5.0
-_MEMO = 200_000
-_BATCH_WORDS = 1_000_000
+#: Words whose features a task remembers, none longer than so many characters; words of a batch.
+_MEMO = 50_000
+_MEMO_LENGTH = 40
+_BATCH_WORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,9 @@ def _batch_features(column: pa.Array, memo: dict) -> tuple[np.ndarray, np.ndarra
     symbol = np.zeros(len(words), bool)
     for i, w in enumerate(words):
         if (f := memo.get(w)) is None:
-            f = memo[w] = _features_of(w)
+            f = _features_of(w)
+            if len(w) <= _MEMO_LENGTH:
+                memo[w] = f
         table[i] = f[:2]
         upper[i], symbol[i] = f[2], f[3]
     doc = np.repeat(np.arange(n), lengths)
@@ -110,7 +114,7 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, features:
     """The model for ``grades`` (doc_id, grade from 0) of ``docs`` (doc_id, text).
 
     At most ``fit_rows`` labelled documents are used, those with the smallest id
-    hashes, and at most ``features`` weights. Null ids or grades do not count; a
+    hashes and of rows of one id that with the least text, and at most ``features`` weights. Null ids or grades do not count; a
     document graded twice has its lowest grade; grades of unknown documents are not
     used. With fewer than two grades nothing is learnt.
     """
@@ -118,8 +122,10 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, features:
     known = known.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("row"), "grade", _parts(F.col("text")).alias("parts"))
-    rows = rows.mapInArrow(_graded_features, "row long, grade int, features array<long>").persist()
+    # one text of each sampled id, so that copies neither weigh nor exceed the bound
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = rows.select(F.xxhash64("doc_id").alias("row"), "grade", _parts(F.col("text")).alias("parts"))
+    rows = rows.mapInArrow(tidy(_graded_features), "row long, grade int, features array<long>").persist()
     try:
         counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
         if len(counts) < 2:
@@ -204,13 +210,17 @@ def _scorer(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def select(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, whatever their columns, whose text ``grade`` would keep."""
+    """The rows of ``docs``, whatever their columns, whose text ``grade`` would keep.
+
+    Each row is judged on its own: repeated rows and null ids stay or go by their text, a null or
+    empty text by the thresholds alone; an empty table gives no rows.
+    """
     if not len(model.thresholds):
         return docs
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kind = docs.select(whole.alias("row")).schema["row"].dataType.simpleString()
     rows = docs.select(whole.alias("row"), _parts(F.col("text")).alias("parts"))
-    rows = rows.mapInArrow(_scorer(model), f"row {kind}, expected_grade double, p_top double")
+    rows = rows.mapInArrow(tidy(_scorer(model)), f"row {kind}, expected_grade double, p_top double")
     return rows.where(F.col("p_top") >= least).select("row.*")
 
 
@@ -226,7 +236,7 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         return docs.select("doc_id", none.alias("expected_grade"), none.alias("p_top"), F.lit(True).alias("keep"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", _parts(F.col("text")).alias("parts"))
-    rows = rows.mapInArrow(_scorer(model), f"doc_id {kind}, expected_grade double, p_top double")
+    rows = rows.mapInArrow(tidy(_scorer(model)), f"doc_id {kind}, expected_grade double, p_top double")
     return rows.withColumn("keep", F.col("p_top") >= least)
 
 

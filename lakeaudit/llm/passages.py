@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import bit_array, in_bits, mix, parted, small_batches, stored
+from lakeaudit.llm.common import bit_array, in_bits, mix, parted, small_batches, stored, tidy
 from lakeaudit.llm.wordlists import joined_words, ranges, word_lists
 
 LENGTH = 20
@@ -256,7 +256,7 @@ def _of_hot(segments: DataFrame, kind: str, length: int) -> DataFrame:
     """``_subtrees`` for prefixes that are too large for a group: by the whole window, without bringing segments together."""
     windows = stored(
         segments.mapInArrow(
-            _windows(length), f"anchor long, n1 long, n2 long, d_id {kind}, d_h long, d_start int, inside int, w1 long, w2 long"
+            tidy(_windows(length)), f"anchor long, n1 long, n2 long, d_id {kind}, d_h long, d_start int, inside int, w1 long, w2 long"
         ),
         "passage-windows",
     )
@@ -285,25 +285,27 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
             heads = np.flatnonzero(~stays & (edge | np.append(True, stays[:-1]))) if len(row) else np.zeros(0, np.int64)
             tails = np.flatnonzero(~stays & (np.append(edge[1:], True) | np.append(stays[1:], True))) + 1 if len(row) else heads
+            chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+            cut = np.bincount(row[~stays], chars[~stays], minlength=len(lengths)).astype(np.int64)
             out = pa.StructArray.from_arrays([pa.array((x - begins[row[heads]]).astype(np.int64)) for x in (heads, tails)], ["start", "stop"])
             counts = np.concatenate(([0], np.cumsum(np.bincount(row[heads], minlength=len(lengths))))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), part.column("h"), pa.array(lengths), pa.ListArray.from_arrays(pa.array(counts), out),
-                    joined_words(words.filter(pa.array(stays)), left),
+                    joined_words(words.filter(pa.array(stays)), left), pc.subtract(pc.utf8_length(part.column("text")).cast(pa.int64()), pa.array(cut)),
                 ],
-                ["doc_id", "h", "n_words", "spans", "kept"],
+                ["doc_id", "h", "n_words", "spans", "kept", "n_chars"],
             )
 
 
 def remove_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """doc_id, h, n_words, spans, kept of every row of ``docs`` (doc_id, text).
+    """doc_id, h, n_words, spans, kept, n_chars of every row of ``docs`` (doc_id, text).
 
     Words are runs of characters other than ASCII blanks (space, tab to carriage return).
     Every word covered by ``length`` (at least GRAM + 1) words that also start earlier, in a text of a smaller
     doc_id or before in the same text, is removed; windows are judged on the input.
-    ``spans`` are the removed runs by word number, ``kept`` the other words joined by one space,
-    ``h`` a hash of the text. A null text has no words, shorter texts stay whole. A null id
+    ``spans`` are the removed runs by word number, ``kept`` the other words joined by one space, ``n_chars`` the
+    characters of the text without the removed words', ``h`` a hash of the text. A null text has no words, shorter texts stay whole. A null id
     comes before all others; texts of one id come in the order of ``h``, and equal rows
     (same id, same text) are one text, so that they have the same result. Further columns are
     not read; an empty table gives no rows. ``group`` bounds the words one subtree may have.
@@ -312,11 +314,11 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
     enough = own.where(F.octet_length("text") >= 2 * length - 1)
-    anchors = enough.select("text").mapInArrow(_anchor_counts(length), "anchor long, n long")
+    anchors = enough.select("text").mapInArrow(tidy(_anchor_counts(length)), "anchor long, n long")
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bits = docs.sparkSession.sparkContext.broadcast(bit_array(twice, "anchor", ANCHOR_BITS))
     places = enough.mapInArrow(
-        _places(length, bits), f"doc_id {kind}, h long, anchor long, n1 long, n2 long, start int, size int, content string"
+        tidy(_places(length, bits)), f"doc_id {kind}, h long, anchor long, n1 long, n2 long, start int, size int, content string"
     )
     places = stored(places, "passage-places")
     bits.destroy()
@@ -331,7 +333,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     some = not hot.isEmpty()
     warm, cool = parted(different, F.col("anchor"), hot, "anchor") if some else (None, different)
     cool = cool.select(*name, "d_id", "d_h", "d_start", "content", "size").repartition("anchor").sortWithinPartitions("anchor")
-    runs = cool.mapInArrow(_subtrees(length, group), f"anchor long, n1 long, n2 long, runs {_SPAN}")
+    runs = cool.mapInArrow(tidy(_subtrees(length, group)), f"anchor long, n1 long, n2 long, runs {_SPAN}")
     if some:
         runs = runs.unionByName(_of_hot(warm, kind, length))
 
@@ -350,12 +352,12 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     maybe, rest = parted(own, F.xxhash64("doc_id", "h"), covered.select(F.xxhash64("c_id", "c_h").alias("k")), "k")
     hit = maybe.join(covered, (F.col("h") == F.col("c_h")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
     rows = hit.select("doc_id", "h", "text", "places").unionByName(rest.withColumn("places", F.lit(None).cast(_SPAN)))
-    return rows.mapInArrow(_kept, f"doc_id {kind}, h long, n_words long, spans array<struct<start:bigint,stop:bigint>>, kept string")
+    return rows.mapInArrow(tidy(_kept), f"doc_id {kind}, h long, n_words long, spans array<struct<start:bigint,stop:bigint>>, kept string, n_chars long")
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """The contract's columns, and the number of removed runs."""
+    """The contract's columns, the number of removed runs and the characters left."""
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return removed.select(
-        "doc_id", "n_words", size.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans")
+        "doc_id", "n_words", size.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"), "n_chars"
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakeaudit.llm.common import stored
+from lakeaudit.llm.common import stored, tidy
 from lakeaudit.llm.wordlists import joined_words, word_lists
 
 MOST = 3
@@ -34,8 +34,8 @@ LEAST = 10
 TOP = 2_000
 #: Groups at first, leaves a merged group may have, bytes of text that a task counts at once.
 GROUPS = 128
-BUDGET = 1 << 22
-CHUNK = 8 << 20
+BUDGET = 1 << 21
+CHUNK = 4 << 20
 _SALTS = 64
 #: What ends a piece, and the unknown language.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -211,7 +211,7 @@ def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, groups:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), text.alias("text"))
-    trees = stored(rows.where(F.octet_length("text") > 0).mapInArrow(_local(most, groups), _TREE), "phrase-trees")
+    trees = stored(rows.where(F.octet_length("text") > 0).mapInArrow(tidy(_local(most, groups)), _TREE), "phrase-trees")
     group = ["lang", "part", "depth", "slot"]
     for depth in range(2, most + 1):
         # at most one row for each ``budget`` leaves
@@ -220,9 +220,9 @@ def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, groups:
         if large.isEmpty():
             break
         rest = trees.join(large, group, "left_anti")
-        trees = stored(rest.unionByName(trees.join(large, group).mapInArrow(_dealt(depth, budget), _TREE)), "phrase-trees")
+        trees = stored(rest.unionByName(trees.join(large, group).mapInArrow(tidy(_dealt(depth, budget)), _TREE)), "phrase-trees")
     merged = trees.repartition(*group).sortWithinPartitions(*group)
-    nodes = merged.mapInArrow(_subtrees(least, budget), "lang string, size int, phrase string, f long")
+    nodes = merged.mapInArrow(tidy(_subtrees(least, budget)), "lang string, size int, phrase string, f long")
     return nodes.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
 
 

@@ -73,7 +73,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+    return repeats.outcome(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

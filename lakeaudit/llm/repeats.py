@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lakeaudit.llm.common import bit_array, in_bits, list_column, mix, parted, small_batches, stored
+from lakeaudit.llm.common import bit_array, in_bits, list_column, mix, parted, small_batches, stored, tidy
 from lakeaudit.llm.induced import IN_MEMORY, suffix_array
 from lakeaudit.session import new_path
 
@@ -291,7 +291,7 @@ def _of_hot(segments: DataFrame, length: int) -> DataFrame:
     name = ["anchor", "n1", "n2"]
     segments = stored(segments, "repeat-hot")
     blocks = segments.mapInArrow(
-        _blocks(length), "anchor long, n1 long, n2 long, first int, last int, c1 long, c2 long, w1 long, w2 long"
+        tidy(_blocks(length)), "anchor long, n1 long, n2 long, first int, last int, c1 long, c2 long, w1 long, w2 long"
     )
     blocks = stored(blocks, "repeat-blocks")
 
@@ -307,13 +307,13 @@ def _of_hot(segments: DataFrame, length: int) -> DataFrame:
     )
     agree = stored(agree, "repeat-agree")
     unsure = agree.where("open").groupBy(*name).agg(F.collect_list("block").alias("blocks"))
-    strings = segments.join(unsure, name).mapInArrow(_strings(length), "anchor long, n1 long, n2 long, start int, s1 long, s2 long")
+    strings = segments.join(unsure, name).mapInArrow(tidy(_strings(length)), "anchor long, n1 long, n2 long, start int, s1 long, s2 long")
     strings = stored(strings, "repeat-strings").withColumn("own", F.xxhash64(*name))
     strings = strings.join(several(strings, "s1", "s2"), ["s1", "s2"], "left_semi")
     strings = strings.select(*name, F.struct(F.col("start").alias("first"), F.col("start").alias("last")).alias("block"))
     found = agree.where("whole").select(*name, "block").unionByName(strings)
     found = found.groupBy(*name).agg(F.collect_list("block").alias("blocks"))
-    return found.mapInArrow(_joined_runs(length), "anchor long, n1 long, n2 long, runs array<long>")
+    return found.mapInArrow(tidy(_joined_runs(length)), "anchor long, n1 long, n2 long, runs array<long>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,14 +354,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
     enough = own.where(F.octet_length("data") >= length)
-    anchors = enough.select("data").mapInArrow(_anchor_counts(length), "anchor long, n long")
+    anchors = enough.select("data").mapInArrow(tidy(_anchor_counts(length)), "anchor long, n long")
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(bit_array(twice, "anchor", ANCHOR_BITS))
     places = enough.mapInArrow(
-        _places(length, bits),
+        tidy(_places(length, bits)),
         f"doc_id {kind}, h long, anchor long, n1 long, n2 long, starts array<long>, size int, inside int, content binary",
     )
     places = stored(places, "repeat-places")
+    bits.destroy()
 
     name = ["anchor", "n1", "n2"]
     hot = places.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > shard).select("anchor")
@@ -374,7 +375,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
 
     several = different(cool).repartition("anchor").sortWithinPartitions("anchor")
     partly = several.mapInArrow(
-        _shards(length, new_path(spark, "repeat-queues"), most, shard), "anchor long, n1 long, n2 long, runs array<long>"
+        tidy(_shards(length, new_path(spark, "repeat-queues"), most, shard)), "anchor long, n1 long, n2 long, runs array<long>"
     )
     if some:
         partly = partly.unionByName(_of_hot(different(warm), length))
@@ -389,7 +390,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
         ends, lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("start"), (F.col("at") + F.get("runs", i + 1)).alias("stop"))
     )
     covered = covered.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), pairs.alias("pairs"))
-    covered = covered.groupBy("c_id", "c_h").agg(F.flatten(F.collect_list("pairs")).alias("places"))
+    # a set: equal rows have equal places, however many they are
+    covered = covered.groupBy("c_id", "c_h").agg(F.flatten(F.collect_set("pairs")).alias("places"))
     covered = stored(covered, "repeat-covered")
 
     # only texts that may have something to remove are shuffled
@@ -398,11 +400,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     hit = maybe.join(covered, (F.col("h") == F.col("c_h")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
     rows = hit.select("doc_id", "h", "data", "places").unionByName(rest.withColumn("places", none))
     return rows.mapInArrow(
-        _cut, f"doc_id {kind}, h long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+        tidy(_cut), f"doc_id {kind}, h long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
 
 
-def digest(removed: DataFrame) -> DataFrame:
+def digest(removed: DataFrame, *more: Column) -> DataFrame:
     """The contract's columns."""
     return removed.select(
         "doc_id",
@@ -410,9 +412,16 @@ def digest(removed: DataFrame) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+        *more,
     )
 
 
+def outcome(removed: DataFrame) -> DataFrame:
+    """The contract's columns, and the bytes and characters left."""
+    left = F.octet_length("kept").cast("long").alias("bytes_left")
+    return digest(removed, left, F.length(F.col("kept").cast("string")).cast("long").alias("n_chars"))
+
+
 def as_text(column: str) -> Column:
     """The whole characters of a binary column of UTF-8, without those cut in two.
 

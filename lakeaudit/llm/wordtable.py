@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import small_batches, stored
+from lakeaudit.llm.common import small_batches, stored, tidy
 from lakeaudit.llm.pieces import added_tokens, coded, encode, pieces, spread, tokenizer
 
 #: The broadcast part: so many words, none longer than so many characters.
@@ -41,7 +41,7 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     """word, n, ids of every distinct word of ``docs``: ids as little-endian 32-bit integers."""
     words = docs.select(F.explode(pieces(F.col("text"), added_tokens(path))).alias("word"))
     words = words.groupBy("word").agg(F.count("*").alias("n"))
-    return stored(words.mapInArrow(_encoded_words(path), "word string, n long, ids binary"), "word-table")
+    return stored(words.mapInArrow(tidy(_encoded_words(path)), "word string, n long, ids binary"), "word-table")
 
 
 def _common(table: DataFrame, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -156,15 +156,15 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     kind = docs.schema["doc_id"].dataType.simpleString()
     # id and hash name a row; equal rows have equal pieces, so their common name does no harm
     cut = own.select("doc_id", F.xxhash64("text").alias("h"), pieces(F.col("text"), added).alias("pieces"))
-    others = cut.mapInArrow(_others(common), f"doc_id {kind}, h long, at int, word string")
+    others = cut.mapInArrow(tidy(_others(common)), f"doc_id {kind}, h long, at int, word string")
     others = others.join(table.select("word", "ids"), "word")
     # a text's words come from many tasks, so combining them before the shuffle would only add to it
     others = others.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "at", "ids").repartition("o_id", "o_h")
     others = others.groupBy("o_id", "o_h").agg(F.collect_set(F.struct("at", "ids")).alias("others"))
-    placed = cut.mapInArrow(_in_place(common), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
+    placed = cut.mapInArrow(tidy(_in_place(common)), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
     rows = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
     rows = rows.select("doc_id", "low", "middle", "high", "gaps", "others")
-    return rows.mapInArrow(_merged(common), f"doc_id {kind}, ids binary")
+    return rows.mapInArrow(tidy(_merged(common)), f"doc_id {kind}, ids binary")
 
 
 def _byte_of() -> dict[str, int]:
@@ -207,7 +207,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names], pa.array(out, pa.string())], [*part.schema.names, "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Top-k, near-duplicates, decontamination, byte repeats and the pipeline against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeaudit.llm import components, contamination, induced, jaccard, repeats, topk
+from lakeaudit.llm import components, contamination, induced, jaccard, ordinal, repeats, topk
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -205,3 +206,37 @@ def test_pipeline_on_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, sf)
         assert docs.count() == 4
+
+
+def test_equal_rows_of_one_id_cost_no_more_than_different_ones(spark):
+    """Every place of an equal row is named once, however many there are."""
+    text = some_words(random.Random(12), 500)
+    df = spark.range(2_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    took = []
+    for rows in (df.withColumn("doc_id", F.monotonically_increasing_id()), df):
+        start = time.time()
+        found = repeats.outcome(repeats.remove_repeats(rows)).agg(F.count("*"), F.sum("n_removed"), F.max("bytes_left")).first()
+        took.append(time.time() - start)
+        assert tuple(found) == (2_000, 2_000 * len(text), 0)
+    assert took[1] < 1.5 * took[0] + 2
+
+
+def test_copies_of_a_labelled_row_do_not_weigh(spark):
+    """The fit sees one text of each id, so the model is that without copies; scores equal a plain restatement."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "plain"] if i % 2 else ["bad", "poor", "plain"]) for _ in range(20))) for i in range(120)]
+    grades = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, grade int")
+    once = spark.createDataFrame(rows, DOCS)
+    copies = once.unionByName(once.where("doc_id = 3").crossJoin(spark.range(3_000)).select("doc_id", F.concat("text", F.lit(" zzz")).alias("text")))
+    one, other = ordinal.fit(once, grades), ordinal.fit(copies, grades)
+    assert np.array_equal(one.hashes, other.hashes) and np.allclose(one.weights, other.weights) and len(one.hashes) > 3
+    weight = dict(zip(one.hashes.tolist(), one.weights))
+    for r in ordinal.grade(once, one).collect():
+        found = set()
+        for w in dict(rows)[r.doc_id].split():
+            found |= {ordinal._hash("w:" + w)} | ({ordinal._hash("p:" + w[:4])} if len(w) > 4 else set())
+        own = dict(rows)[r.doc_id].split()
+        again = sum(w in own[max(i - 2, 0) : i] for i, w in enumerate(own)) / len(own)
+        found |= {ordinal._hash(f"again:{int(again * 10)}"), ordinal._hash("upper:0"), ordinal._hash("symbol:0")}
+        s = sum(weight.get(h, 0) for h in found)
+        assert abs(r.p_top - 1 / (1 + np.exp(one.thresholds[-1] - s))) < 1e-9

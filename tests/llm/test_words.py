@@ -34,7 +34,7 @@ def prose(rng, n, size=40):
 def passage_brute(rows, length):
     """For each distinct (order, text): words left, removed words and removed runs; ``rows`` are (order, text)."""
     seen, out = set(), {}
-    for key, text in sorted(set(rows)):
+    for key, text in sorted(set(rows), key=lambda r: r[0]):
         own, gone = listed(text), set()
         for i in range(len(own) - length + 1):
             window = tuple(own[i : i + length])
@@ -42,7 +42,7 @@ def passage_brute(rows, length):
                 gone.update(range(i, i + length))
             seen.add(window)
         out[key, text] = (len(own), len(gone), sha(" ".join(w for i, w in enumerate(own) if i not in gone)),
-                          sum(1 for i in gone if i - 1 not in gone))
+                          sum(1 for i in gone if i - 1 not in gone), len(text or "") - sum(len(own[i]) for i in gone))
     return out
 
 
