@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import small_batches, tidy
+from lakeaudit.llm.common import small_batches, stored, tidy
 
 #: Labelled documents that the model is fitted on, at most: those of the smallest hashes.
 FIT_ROWS = 16_000
@@ -125,24 +125,22 @@ def fit(docs: DataFrame, grades: DataFrame, fit_rows: int = FIT_ROWS, features:
     # one text of each sampled id, so that copies neither weigh nor exceed the bound
     rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     rows = rows.select(F.xxhash64("doc_id").alias("row"), "grade", _parts(F.col("text")).alias("parts"))
-    rows = rows.mapInArrow(tidy(_graded_features), "row long, grade int, features array<long>").persist()
-    try:
-        counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-        if len(counts) < 2:
-            return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-        total = sum(counts.values())
-        per = rows.select("grade", F.explode("features").alias("h")).groupBy("h").agg(
-            F.count("*").alias("n"), *[F.avg((F.col("grade") == g).cast("double")).alias(f"g{g}") for g in sorted(counts)]
-        )
-        off = [F.abs(F.col(f"g{g}") - n / total) / (n / total * (1 - n / total)) ** 0.5 for g, n in counts.items()]
-        z = F.greatest(*off) * F.sqrt("n")
-        chosen = per.where(z >= _LEAST_Z).orderBy(F.desc(z), "h").limit(features).select("h").collect()
-        hashes = np.sort(np.array([r["h"] for r in chosen], np.int64))
-        index = F.broadcast(rows.sparkSession.createDataFrame([(int(h), i) for i, h in enumerate(hashes)], "h long, i int"))
-        used = rows.select("row", F.explode("features").alias("h")).join(index, "h")
-        used = rows.select("row", "grade").join(used.groupBy("row").agg(F.collect_list("i").alias("at")), "row", "left").toArrow()
-    finally:
-        rows.unpersist()
+    rows = rows.mapInArrow(tidy(_graded_features), "row long, grade int, features array<long>")
+    rows = stored(rows, "graded-features")
+    counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    total = sum(counts.values())
+    per = rows.select("grade", F.explode("features").alias("h")).groupBy("h").agg(
+        F.count("*").alias("n"), *[F.avg((F.col("grade") == g).cast("double")).alias(f"g{g}") for g in sorted(counts)]
+    )
+    off = [F.abs(F.col(f"g{g}") - n / total) / (n / total * (1 - n / total)) ** 0.5 for g, n in counts.items()]
+    z = F.greatest(*off) * F.sqrt("n")
+    chosen = per.where(z >= _LEAST_Z).orderBy(F.desc(z), "h").limit(features).select("h").collect()
+    hashes = np.sort(np.array([r["h"] for r in chosen], np.int64))
+    index = F.broadcast(rows.sparkSession.createDataFrame([(int(h), i) for i, h in enumerate(hashes)], "h long, i int"))
+    used = rows.select("row", F.explode("features").alias("h")).join(index, "h")
+    used = rows.select("row", "grade").join(used.groupBy("row").agg(F.collect_list("i").alias("at")), "row", "left").toArrow()
     at = used.column("at").combine_chunks()
     lengths = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     weights, thresholds = regression(
