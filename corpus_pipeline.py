@@ -10,13 +10,21 @@ from lakeaudit.llm.common import parted, stored, table, without
 from lakeaudit.llm.pieces import default_path
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches, so that what an executor holds beside its heap stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the top grade; poor and toxic ones go."""
+    _small_batches(spark)
     return ordinal.select(docs, ordinal.fit(docs, ordinal.grades_of(table(spark, sf_dir, "labels"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the smallest id; of repeated rows one; rows of null id stay."""
+    _small_batches(spark)
     found = stored(jaccard.ngram_jaccard_join(docs), "pipeline-classes")
     kept = without(docs, found.where("doc_id <> class_id").select("doc_id").distinct())
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -26,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes that stand anywhere else; characters that are cut in two go whole."""
+    _small_batches(spark)
     removed = repeats.remove_repeats(docs).where(F.size("spans") > 0)
     changed = stored(removed.select("doc_id", "h", "kept").withColumn("new", repeats.as_text("kept")).drop("kept").distinct(), "pipeline-cut")
     changed = changed.withColumnsRenamed({"doc_id": "c_id", "h": "c_h"})
@@ -38,12 +47,14 @@ def byte_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, stored(found.select("doc_id").distinct(), "pipeline-leaks"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
+    _small_batches(spark)
     path = default_path()
     return wordtable.digest(wordtable.decode_ids(wordtable.encode_texts(docs, path), path))
 
