@@ -384,12 +384,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = IN_MEMORY,
     marks = stored(wholly.unionByName(partly.where(F.size("runs") > 0)), "repeat-marks")
 
     covered = places.select("doc_id", "h", *name, "starts").join(marks, name)
-    covered = covered.select("doc_id", "h", F.explode("starts").alias("at"), "runs")
     ends = F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))
-    pairs = F.transform(
-        ends, lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("start"), (F.col("at") + F.get("runs", i + 1)).alias("stop"))
+    # all places of a segment in a text stay in its row
+    pairs = lambda at: F.transform(
+        ends, lambda i: F.struct((at + F.get("runs", i)).alias("start"), (at + F.get("runs", i + 1)).alias("stop"))
     )
-    covered = covered.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), pairs.alias("pairs"))
+    pairs = F.flatten(F.transform("starts", pairs)).alias("pairs")
+    covered = covered.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), pairs)
     # a set: equal rows have equal places, however many they are
     covered = covered.groupBy("c_id", "c_h").agg(F.flatten(F.collect_set("pairs")).alias("places"))
     covered = stored(covered, "repeat-covered")
