@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,7 +68,9 @@ def test_licenses_equal_brute_force(spark):
         "Licensed under CC BY-NC 4.0. MIT License mit license", "the Apache License, Version 2.0 ok", None, "", "MIT", "mit-license",
         "Licensed under the Apache License, Version 2.0.\nOs los", "GNU General Public License v3", "SPDX-License-Identifier: GPL-2.0 MIT License",
         "released under the 2-clause BSD licence; governed by the Mozilla Public License 2.0", "ÉMIT License üMIT license",
-        "MIT License " * 4_000,
+        "MIT License " * 4_000, "under GPLv3 or LGPLv2.1+, AGPLv3, Apache2, BSD3", "gplv gplv9 agplv3.1",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software. MIT License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted", "I hope the author can retain it",
     ]
     rows = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])], DOCS).withColumn("words", F.lit(1))
     got = licenses.digest(licenses.scan(rows)).collect()
@@ -76,6 +79,19 @@ def test_licenses_equal_brute_force(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_many_places_of_one_text_take_linear_time(spark):
+    texts = ["MIT License " * 200_000, "licensed under GPL. " * 60_000 + "x " * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    licenses.digest(licenses.scan(rows.limit(0))).collect()
+    began = time.time()
+    (mit,) = licenses.digest(licenses.scan(rows.where("doc_id = 0"))).collect()
+    assert time.time() - began < 20
+    (gpl,) = licenses.digest(licenses.scan(rows.where("doc_id = 1"))).collect()
+    assert (mit.n_words, mit.n_base, mit.first_word, mit.last_word, mit.labels) == (400_000, 200_000, 0, 399_998, "mit")
+    assert (gpl.n_words, gpl.n_base, gpl.first_word, gpl.labels) == (380_000, 0, None, "gpl")
+    assert [r.n for r in licenses.scan(rows).orderBy("doc_id").select(F.size("detections").alias("n")).collect()] == [200_000, 60_000]
+
+
 def test_grades_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     grades = ordinal.grades_of(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
