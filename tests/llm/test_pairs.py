@@ -121,6 +121,35 @@ def test_no_short_item_is_lost(spark):
     assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == brute.leaks(docs, items)
 
 
+def test_sketches_of_long_items_lose_none(spark):
+    rng = random.Random(16)
+    items = {i: some_words(rng, rng.choice((35, 36, 50, 90, 200, 500, 1_500))) for i in range(80)}
+    docs = {}
+    for i in items:
+        own = items[i].split()
+        for _ in range(len(own) // 32):  # about the least share that counts
+            own[rng.randrange(len(own))] = "changed"
+        docs[i] = some_words(rng, rng.randint(0, 2_000)) + " " + " ".join(own) + " " + some_words(rng, rng.randint(0, 900))
+    docs[500] = " ".join(items.values())
+    given_items = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = contamination.contaminated(frame(spark, list(docs.items())), given_items).collect()
+    want = brute.leaks(docs, items)
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == want and len(want) > 100
+    own = np.sort(np.random.default_rng(2).integers(0, 2**63, 4_000).astype(np.uint64))
+    least = contamination._least(own)
+    assert len(np.intersect1d(own, least)) == contamination.BINS and contamination._sketched(own, np.arange(4_000), 8).sum() < 2_500
+
+
+def test_texts_of_one_id_are_judged_alone(spark):
+    rng = random.Random(17)
+    item, clean = some_words(rng, 60), some_words(rng, 80)
+    half = item.split()
+    rows = [(1, " ".join(half[:30])), (1, " ".join(half[30:])), (2, clean), (2, item), (2, item), (3, clean)]
+    given_items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = contamination.contaminated(frame(spark, rows), given_items).collect()
+    assert [(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got] == [(2, 9, 56, 56)]
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.integers(1, 4).flatmap(lambda k: st.lists(st.integers(1, k * k), max_size=70)), st.sampled_from([2, 30, 1 << 20]))
 def test_suffixes_in_order(tmp_path_factory, numbers, most):
