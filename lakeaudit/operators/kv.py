@@ -72,6 +72,23 @@ def seek_desc(entities: DataFrame, ts: Column, limit: int | None = None) -> Data
     return found if limit is None else found.limit(limit)
 
 
+def newest_first_key(ts: Column) -> Column:
+    """Eight bytes whose order is the reverse of time's, so that the newest come first in a table sorted by them."""
+    flipped = F.unix_micros(ts.cast("timestamp")).bitwiseXOR(F.lit(2**63 - 1))
+    return F.unhex(F.lpad(F.hex(flipped), 16, "0"))
+
+
+def seek_newest(stored: DataFrame, ts: Column, limit: int | None = None) -> DataFrame:
+    """Entities at or before ``ts`` of a table that :func:`sinks.write_newest_first` wrote.
+
+    What is sought is a range of ``key``, from the moment's key on; it reaches the scan and skips all
+    newer row groups. Without ``limit`` nothing is sorted: rows come as the files hold them and ``key``
+    tells their order. With it, the first ``limit`` are found by heaps, ties by type and id.
+    """
+    found = stored.where(F.col("key") >= newest_first_key(ts))
+    return found if limit is None else found.orderBy("key", "entity_type", "entity_id").limit(limit)
+
+
 def entity_types(entities: DataFrame) -> DataFrame:
     return entities.select("entity_type").distinct()
 

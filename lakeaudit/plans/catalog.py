@@ -25,7 +25,7 @@ from lakeaudit.plans import params as P
 from lakeaudit.plans import views as V
 from lakeaudit.session import new_path
 from lakeaudit.sources import listing, manifests, sinks, tables
-from lakeaudit.streaming import streams
+from lakeaudit.streaming import paced, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +112,15 @@ def kv_seek_desc(spark, sf):
     return kv.seek_desc(V.entities(spark, sf), _seek())
 
 
+@query
+def kv_seek_newest(spark, sf):
+    """Writes the entities newest first; the moment sought then reaches the scan as a range of keys."""
+    out = new_path(spark, "newest")
+    sinks.write_newest_first(V.entities(spark, sf), out)
+    found = kv.seek_newest(spark.read.parquet(out), _seek())
+    return found.select(F.hex("key").alias("key"), "entity_type", "entity_id", "start_ts")
+
+
 @query
 def kv_dump(spark, sf):
     """Writes the dump and reads its lines back."""
@@ -146,7 +155,7 @@ def sink_overwrite(spark, sf):
 @query
 def sink_fanout(spark, sf):
     out = new_path(spark, "fanout")
-    sinks.fanout(V.runs(spark, sf), out, "level", 4)
+    sinks.fanout(V.runs(spark, sf), out, "level")
     return spark.read.parquet(out).select("suite", "phase", "repeat_no", "level", "metric", "value")
 
 
@@ -481,6 +490,34 @@ def stream_throttled_read(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def stream_rollup_late(spark, sf):
+    """The rollup of a log that arrives in bunches, some rows weeks after their time, with the number of late rows."""
+    src, out, checkpoint = (new_path(spark, name) for name in ("arrivals", "late", "late-state"))
+    held = F.when(F.col("event_id") % P.HELD_BACK == 0, F.lit(7)).otherwise(F.lit(0))
+    week = F.floor((F.dayofyear("start_ts") - 1 + held) / 7)
+    log = V.op_events(V.table(spark, sf, "events"))
+    for bunch in range(P.BUNCHES):
+        here = F.least(week, F.lit(P.BUNCHES - 1)) == bunch
+        sinks.append(log.where(F.coalesce(here, F.lit(bunch == P.BUNCHES - 1))), src)
+        streams.drain_rollup_with_late(spark.readStream.schema(log.schema).parquet(src), out, checkpoint, P.WINDOW, P.DELAY)
+    windows = streams.rollup_with_late(spark, out)
+    late = streams.op_rollup(streams.late_rows(spark, out), P.WINDOW, P.DELAY).select("window_start", "window_end", "op", F.col("n").alias("late"))
+    return windows.join(late, ["window_start", "window_end", "op"], "full").select(
+        "window_start", "window_end", "op", F.coalesce("n", F.lit(0)).alias("n"), "max_elapsed", F.coalesce("late", F.lit(0)).alias("late")
+    )
+
+
+@query
+def stream_paced_read(spark, sf):
+    """Reads the documents, written as text files, so many bytes of each a trigger."""
+    root, out, checkpoint = (new_path(spark, name) for name in ("shelves", "paced-out", "paced-state"))
+    sinks.write_texts(V.shelves(spark, sf), root, "line", ["lang", "shelf"])
+    files = drop_hidden(listing.list_tree(spark, root)).where("not is_dir and name <> '_SUCCESS'").select("path", "length")
+    paced.drain(paced.paced_read(spark, root, files, P.PACE), out, checkpoint)
+    return paced.paced_totals(spark, out).select(paths.parent_of(F.col("path")).alias("folder"), "length", "triggers", "most")
+
+
 # --- caller-supplied functions ------------------------------------------------------------------
 
 

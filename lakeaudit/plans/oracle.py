@@ -218,6 +218,11 @@ ORACLE: dict[str, str] = {
         ["fx_entities"],
         f"select * from fx_entities where start_ts <= timestamp '{P.SEEK}' order by start_ts desc",
     ),
+    "kv_seek_newest": with_views(
+        ["fx_entities"],
+        f"""select printf('%016X', xor(epoch_us(start_ts), 9223372036854775807)) as key, entity_type, entity_id, start_ts
+        from fx_entities where start_ts <= timestamp '{P.SEEK}'""",
+    ),
     "kv_dump": with_views(["fx_kv"], "select key||' = '||value as line from fx_kv"),
     "src_inventory_lines": with_views(
         ["fx_hosts"], "select * from fx_hosts where not starts_with(line,'#')"
@@ -480,6 +485,21 @@ ORACLE: dict[str, str] = {
         from (select *, time_bucket(interval {P.WINDOW}, start_ts) as window_start from fx_oplog)
         group by window_start, op""",
     ),
+    "stream_rollup_late": f"""with arrived as (
+        select time_bucket(interval {P.WINDOW}, ts) as window_start, event_type as op, ts, cast(round(value*100) as bigint) as elapsed,
+          least(floor((dayofyear(ts)-1+case when event_id%{P.HELD_BACK}=0 then 7 else 0 end)/7), {P.BUNCHES - 1}) as bunch from events),
+      tops as (select b, (select max(ts) from arrived where bunch<b) as top from range({P.BUNCHES}) r(b)),
+      judged as (
+        select a.*, coalesce(window_start + interval {P.WINDOW} <= top - interval {P.DELAY}, false) as late
+        from arrived a left join tops on b=bunch)
+      select window_start, window_start + interval {P.WINDOW} as window_end, op, count(*) filter (not late) as n,
+        max(elapsed) filter (not late) as max_elapsed, count(*) filter (late) as late
+      from judged group by window_start, op""",
+    "stream_paced_read": with_views(
+        ["fx_shelves"],
+        f"""select folder, sum(bytes)::bigint as length, ((sum(bytes)+{P.PACE}-1)//{P.PACE})::bigint as triggers,
+          least(sum(bytes),{P.PACE})::bigint as most from fx_shelves group by folder""",
+    ),
     "stream_running_max": with_views(
         ["fx_oplog"],
         "select worker, count(*) as calls, max(elapsed) as max_elapsed from fx_oplog group by worker",

@@ -24,3 +24,6 @@ TAIL = 100
 ONE_IN = 4
 WINDOW = "10 seconds"
 DELAY = "10 seconds"
+BUNCHES = 5
+HELD_BACK = 9
+PACE = 1 << 20

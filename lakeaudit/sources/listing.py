@@ -41,14 +41,15 @@ _ARROW = pa.schema(
 _BATCH = 10_000
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
     """``root`` as Spark itself would resolve it, with scheme and host."""
     jvm, sc = spark._jvm, spark.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def _open(root: str) -> tuple[pafs.FileSystem, str]:
+def open_root(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path and the path within it."""
     scheme, _, rest = root.partition(":")
     if scheme == "file":
         return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
@@ -118,7 +119,7 @@ class ListingReader(DataSourceReader):
         Only directory names are kept. The tasks list the directories again, so
         no files pass through the driver.
         """
-        fs, base = _open(self.root)
+        fs, base = open_root(self.root)
         _root_row(fs, base)
         opened: list[str] = []
         waiting = deque([""])
@@ -131,7 +132,7 @@ class ListingReader(DataSourceReader):
         return [_Share(opened[i::n], whole[i::n]) for i in range(n)]
 
     def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(self.root)
+        fs, base = open_root(self.root)
         if "" in partition.flat + partition.whole:
             yield from _batches([_root_row(fs, base)])
         for rel in partition.flat:
@@ -166,7 +167,7 @@ def with_names(entries: DataFrame) -> DataFrame:
 def fs_listing(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
     spark.dataSource.register(ListingSource)
     source = spark.read.format("fs_listing").option("tasks", tasks)
-    return with_names(source.load(_qualified(spark, root)))
+    return with_names(source.load(qualified(spark, root)))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -174,13 +175,13 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
     A directory that may not be read stays, with ``listed`` false.
     """
-    root = _qualified(spark, root)
-    fs, base = _open(root)
+    root = qualified(spark, root)
+    fs, base = open_root(root)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = new_path(spark, "listing")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task_fs, task_base = _open(root)
+        task_fs, task_base = open_root(root)
         for batch in batches:
             for rel in batch.column(0).to_pylist():
                 try:
@@ -223,10 +224,10 @@ def read_lengths(spark: SparkSession, root: str, manifest: DataFrame) -> DataFra
     one open-ended, so a large file is read by many tasks, none is held in
     memory, and a wrong expected length costs nothing. A missing file gives a NULL length.
     """
-    root = _qualified(spark, root)
+    root = qualified(spark, root)
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 info = fs.get_file_info(f"{base.rstrip('/')}/{row[0]}")
@@ -238,7 +239,7 @@ def read_lengths(spark: SparkSession, root: str, manifest: DataFrame) -> DataFra
                     yield _ranges([(*row, i * _RANGE, i == last) for i in range(at, min(at + _BATCH, last + 1))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(root)
+        fs, base = open_root(root)
         for batch in batches:
             path, expected, start, last = (c.to_pylist() for c in batch.columns)
             found = [_count(fs, f"{base.rstrip('/')}/{p}", s, x) for p, s, x in zip(path, start, last)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.operators.kv import kv_dump_lines
+from lakeaudit.operators.kv import kv_dump_lines, newest_first_key
+from lakeaudit.operators.skew import hot_keys
 
 
 def write_kv(kv: DataFrame, path: str) -> None:
@@ -37,17 +38,23 @@ def overwrite(df: DataFrame, path: str, by: list[str]) -> None:
     )
 
 
-def fanout(df: DataFrame, path: str, worker: str, files: int, max_records: int = 10_000_000) -> None:
-    """One sub-directory per worker with up to ``files`` files each.
+def fanout(df: DataFrame, path: str, worker: str, max_records: int = 10_000_000) -> None:
+    """One sub-directory per worker, in files of at most about ``max_records`` rows.
 
-    Rows of a worker are dealt over ``files`` parts, so a worker with many rows
-    is not written by one task. The input partition takes part in the deal, so
-    that copies of one row are dealt out too.
+    Rows are counted first: a worker with at most ``max_records`` rows is one file, one with more is dealt
+    over as many write tasks as it needs. Only such workers are in the broadcast table, at most rows /
+    max_records of them. The input partition takes part in the deal, so that copies of one row are dealt
+    out too. Rows of a null worker stay; they are dealt like those of a worker above the bound.
     """
+    hot = F.broadcast(hot_keys(df, worker, max_records))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.pmod(F.xxhash64(*df.columns), F.lit(files)) + F.spark_partition_id(), F.lit(files))
+    deal = F.xxhash64(*df.columns) + F.spark_partition_id()
+    parts = F.when(F.col(worker).isNull(), F.lit(tasks)).otherwise(F.coalesce("_parts", F.lit(1)))
     (
-        df.withColumn("_part", part)
+        df.withColumn("_deal", deal)
+        .join(hot, F.col(worker) == F.col("_hot_key"), "left")
+        .withColumn("_part", F.pmod(F.col("_deal"), parts.cast("bigint")))
+        .drop("_hot_key", "_parts", "_deal")
         .repartition(tasks, worker, "_part")
         .drop("_part")
         .write.option("maxRecordsPerFile", max_records)
@@ -56,6 +63,12 @@ def fanout(df: DataFrame, path: str, worker: str, files: int, max_records: int =
     )
 
 
+def write_newest_first(entities: DataFrame, path: str) -> None:
+    """Entities (entity_type, entity_id, start_ts) range-sorted by :func:`newest_first_key`, for :func:`seek_newest`."""
+    keyed = entities.withColumn("key", newest_first_key(F.col("start_ts")))
+    keyed.orderBy("key", "entity_type", "entity_id").write.parquet(path)
+
+
 def register_tables(spark: SparkSession, database: str, tables: dict[str, str]) -> list[str]:
     """Register Parquet directories as external tables; returns their full names.
 

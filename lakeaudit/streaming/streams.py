@@ -107,6 +107,76 @@ def latest_rollup(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def drain_rollup_with_late(
+    log: DataFrame, out: str, checkpoint: str, window: str = "10 seconds", delay: str = "10 seconds"
+) -> None:
+    """The rollup of :func:`op_rollup` with every row that came too late kept in a side table.
+
+    ``log`` has start_ts, op, elapsed and any further columns. As with Spark's own watermark, a row is late
+    if its window ends no later than ``delay`` before the greatest time of all earlier micro-batches. Late rows,
+    and rows without a time, go to ``out``/late whole; all others are rolled up, one small table per batch. A
+    repeated batch replaces itself. So :func:`rollup_with_late` and :func:`late_rows` together hold every row.
+    """
+    spark = log.sparkSession
+    window_end = F.window(F.col("start_ts").cast("timestamp"), window).getField("end")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        before = F.lit(None).cast("timestamp")
+        if number > 0:
+            before = F.lit(own.read.parquet(f"{out}/top/batch={number - 1}").first()["top"]).cast("timestamp")
+        closed = before - F.expr(f"interval {delay}")
+        late = F.col("start_ts").isNull() | F.coalesce(F.col("_end") <= closed, F.lit(False))
+        # a window of a null time would take the row away
+        timed = batch.where("start_ts is not null").withColumn("_end", window_end)
+        rows = timed.unionByName(batch.where("start_ts is null"), allowMissingColumns=True).withColumn("_late", late).persist()
+        try:
+            rows.where("_late").drop("_late", "_end").write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+            _rolled(rows.where("not _late"), window).write.mode("overwrite").parquet(f"{out}/windows/batch={number}")
+            top = rows.agg(F.greatest(F.max(F.col("start_ts").cast("timestamp")), before).alias("top"))
+            top.write.mode("overwrite").parquet(f"{out}/top/batch={number}")
+        finally:
+            rows.unpersist()
+
+    spark.createDataFrame([], log.schema).write.mode("append").parquet(f"{out}/late/batch=-1")
+    _rolled(spark.createDataFrame([], log.schema), window).write.mode("append").parquet(f"{out}/windows/batch=-1")
+    (
+        log.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+
+
+def _rolled(log: DataFrame, window: str) -> DataFrame:
+    return (
+        log.groupBy(F.window(F.col("start_ts").cast("timestamp"), window).alias("w"), "op")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("elapsed").alias("max_elapsed"))
+        .select(
+            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+            F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            "op",
+            "n",
+            "max_elapsed",
+        )
+    )
+
+
+def rollup_with_late(spark: SparkSession, out: str) -> DataFrame:
+    """Windows as :func:`drain_rollup_with_late` wrote them."""
+    return (
+        spark.read.parquet(f"{out}/windows")
+        .groupBy("window_start", "window_end", "op")
+        .agg(F.sum("n").alias("n"), F.max("max_elapsed").alias("max_elapsed"))
+    )
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows left out of :func:`rollup_with_late`, with the number of the batch that brought them."""
+    return spark.read.parquet(f"{out}/late")
+
+
 def latest_worker_max(spark: SparkSession, out: str) -> DataFrame:
     """Current state from the updates of :func:`worker_max`; both values only grow."""
     return (

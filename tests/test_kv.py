@@ -85,6 +85,22 @@ def test_seek(entities):
     assert [r.entity_id for r in kv.seek_desc(entities, ntz("2024-02-01 00:00:00"), 2).collect()] == [4, 3]
 
 
+def test_seek_by_reversed_key(spark, entities, tmp_path):
+    path = str(tmp_path / "newest")
+    old = spark.createDataFrame([("x", 9, dt.datetime(1960, 5, 5)), ("x", 8, dt.datetime(1970, 1, 1)), ("x", 7, None)], entities.schema)
+    every = entities.unionByName(old)
+    sinks.write_newest_first(every, path)
+    stored = spark.read.parquet(path)
+    assert [r.entity_id for r in stored.where("key is not null").orderBy("key", "entity_type", "entity_id").collect()] == [4, 3, 2, 1, 0, 8, 9]
+    for moment in ("2024-01-02 00:00:00", "2024-02-01 00:00:00", "1965-01-01 00:00:00", "1900-01-01 00:00:00"):
+        found = kv.seek_newest(stored, ntz(moment))
+        want = [r.entity_id for r in kv.seek_desc(every, ntz(moment)).collect()]
+        assert [r.entity_id for r in found.orderBy("key", "entity_type", "entity_id").collect()] == want
+        assert [r.entity_id for r in kv.seek_newest(stored, ntz(moment), 2).collect()] == want[:2]
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(key), GreaterThanOrEqual(key" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
 def test_entities(entities):
     assert {r[0] for r in kv.entity_types(entities).collect()} == {"x", "y"}
     out = {r.entity_type: (r.kept, r.discarded) for r in kv.entity_ttl(entities, ntz("2024-01-02 00:00:00")).collect()}

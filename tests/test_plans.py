@@ -28,6 +28,8 @@ def test_scans_read_only_what_is_needed(spark, sf):
     assert "props" not in text
     text = plan(entry.queries()["kv_prefix"](spark, sf))
     assert "GreaterThanOrEqual(key" in text and "LessThan(key" in text
+    text = plan(entry.queries()["kv_seek_newest"](spark, sf))
+    assert "GreaterThanOrEqual(key" in text and "Exchange" not in text
     text = plan(entry.queries()["entity_types"](spark, sf))
     assert "ReadSchema: struct<event_type:string>" in text
     text = plan(entry.queries()["retention_exact_day"](spark, sf))

@@ -1,3 +1,4 @@
+import glob
 import os
 
 import duckdb
@@ -43,13 +44,13 @@ def test_list_tree(spark, tree):
 
 
 def test_roots(spark, tree):
-    assert listing._qualified(spark, tree).startswith("file:/")
+    assert listing.qualified(spark, tree).startswith("file:/")
     for root in (tree, "file:" + tree, "file://" + tree):
-        assert listing._open(root)[1] == tree
+        assert listing.open_root(root)[1] == tree
 
 
 def test_a_directory_that_vanishes_is_skipped(tree):
-    fs, base = listing._open(tree)
+    fs, base = listing.open_root(tree)
     assert list(listing._children(fs, base, "no/such")) == []
 
 
@@ -66,7 +67,7 @@ def test_an_unreadable_directory_is_marked(spark, tmp_path, monkeypatch):
         return real(fs, where)
 
     monkeypatch.setattr(listing, "_infos", refuses)
-    fs, base = listing._open(str(tmp_path))
+    fs, base = listing.open_root(str(tmp_path))
     with pytest.raises(PermissionError):
         list(listing._children(fs, base, "closed"))
     assert {r[0] for r in listing._children(fs, base, "open")} == {"open/x"}
@@ -176,10 +177,15 @@ def test_manifest_forms(spark):
 def test_sinks(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 2).alias("worker"), "id")
     path = str(tmp_path / "fanout")
-    sinks.fanout(df, path, "worker", files=3)
+    sinks.fanout(df, path, "worker", max_records=20)
     assert sorted(d for d in os.listdir(path) if "=" in d) == ["worker=0", "worker=1"]
-    assert 1 < len([f for f in os.listdir(path + "/worker=0") if f.endswith(".parquet")]) <= 3
+    assert 1 < len([f for f in os.listdir(path + "/worker=0") if f.endswith(".parquet")]) <= 6
     assert spark.read.parquet(path).count() == 100
+    path = str(tmp_path / "fanout-cold")
+    odd = df.where("id < 60").unionByName(spark.createDataFrame([(None, 1), (None, 1)], df.schema))
+    sinks.fanout(odd, path, "worker", max_records=30)
+    assert [len(glob.glob(f"{path}/worker={w}/*.parquet")) for w in (0, 1)] == [1, 1]
+    assert spark.read.parquet(path).where("worker is null").count() == 2 and spark.read.parquet(path).count() == 62
     path = str(tmp_path / "over")
     sinks.overwrite(df, path, ["worker"])
     sinks.overwrite(df.where("worker = 1 and id < 10"), path, ["worker"])

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lakeaudit.streaming import streams
+from lakeaudit.streaming import paced, streams
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "worker bigint, op string, start_ts timestamp_ntz, elapsed bigint"
@@ -126,3 +126,81 @@ def test_throttled_read_takes_one_file_per_batch(spark, tmp_path):
     sized = source(spark, src, max_bytes="1")
     streams.drain_append(sized, str(tmp_path / "out2"), str(tmp_path / "state2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 4
+
+
+def test_late_rows_and_rollup_hold_every_row(spark, tmp_path):
+    src, out, own = (str(tmp_path / d) for d in ("in", "out", "own"))
+    bunches = [
+        [(1, "a", at(1), 5), (1, "a", at(9), 7), (1, "b", at(2), 1), (1, "a", at(31), 2)],
+        [(1, "a", at(3), 99), (1, "a", at(15), 8), (1, "a", at(60), 4), (2, "c", None, 6), (1, "a", at(3), 99)],
+        [],
+        [(1, "b", at(45), 3), (1, "a", at(29), 1), (1, "a", at(70), None)],
+    ]
+    for rows in bunches:
+        write(spark, src, rows)
+        streams.drain_rollup_with_late(source(spark, src), out, out + "-state")
+        streams.drain_append(streams.op_rollup(source(spark, src)), own, own + "-state")
+    late = streams.late_rows(spark, out)
+    got = sorted((r.op, r.start_ts, r.elapsed) for r in late.where("start_ts is not null").collect())
+    # 21 seconds are closed when the second bunch comes, 50 when the last one comes
+    assert got == [("a", at(3), 99), ("a", at(3), 99), ("a", at(15), 8), ("a", at(29), 1), ("b", at(45), 3)]
+    assert late.where("start_ts is null").count() == 1 and late.columns == ["worker", "op", "start_ts", "elapsed", "batch"]
+    rolled = {(r.window_start, r.op): (r.n, r.max_elapsed) for r in streams.rollup_with_late(spark, out).collect()}
+    assert rolled == {(at(0), "a"): (2, 7), (at(0), "b"): (1, 1), (at(30), "a"): (1, 2), (at(60), "a"): (1, 4), (at(70), "a"): (1, None)}
+    # Spark's own watermark drops the same rows from the windows it has closed
+    closed = {(r.window_start, r.op): (r.n, r.max_elapsed) for r in spark.read.parquet(own).collect()}
+    assert closed and all(rolled[k] == v for k, v in closed.items())
+    assert sum(n for n, _ in rolled.values()) + late.count() == sum(map(len, bunches))
+
+
+def test_paced_read_reads_so_many_bytes_a_trigger(spark, tmp_path):
+    root, out = tmp_path / "files", str(tmp_path / "out")
+    root.mkdir()
+    sizes = {"a": 1, "b": 10, "c": 25, "d": 0, "e": 30}
+    for name, size in sizes.items():
+        (root / name).write_bytes(b"x" * size)
+    (root / "e").write_bytes(b"x" * 12)  # shorter than listed
+    files = spark.createDataFrame([*sizes.items(), ("gone", 15), ("unknown", None)], "path string, length bigint")
+    stream = paced.paced_read(spark, str(root), files, 10, parts=3)
+    paced.drain(stream, out, out + "-state")
+    rows = sorted((r.path, r.batch, r.start, r.length) for r in spark.read.parquet(out).collect())
+    assert rows == [
+        ("a", 0, 0, 1), ("b", 0, 0, 10), ("c", 0, 0, 10), ("c", 1, 10, 10), ("c", 2, 20, 5),
+        ("e", 0, 0, 10), ("e", 1, 10, 2), ("e", 2, 20, 0), ("gone", 0, 0, None), ("gone", 1, 10, None),
+    ]
+    totals = {r.path: (r.length, r.triggers, r.most) for r in paced.paced_totals(spark, out).collect()}
+    assert totals["c"] == (25, 3, 10) and totals["e"] == (12, 3, 10)
+    with pytest.raises(ValueError):
+        paced.paced_read(spark, str(root), files, 0)
+
+
+def test_paced_read_goes_on_after_a_restart(spark, tmp_path):
+    root, out = tmp_path / "files", str(tmp_path / "out")
+    root.mkdir()
+    (root / "a").write_bytes(b"x" * 45)
+    files = spark.createDataFrame([("a", 45)], "path string, length bigint")
+    for rows in (0, 1):
+        seen = []
+
+        def write(batch, number):
+            if rows == 0 and number == 2:
+                raise RuntimeError("lost")
+            seen.extend((number, r.start, r.length) for r in batch.collect())
+
+        query = paced.paced_read(spark, str(root), files, 10).writeStream.foreachBatch(write)
+        query = query.option("checkpointLocation", out + "-state").start()
+        try:
+            query.processAllAvailable()
+        except Exception as e:
+            assert "lost" in str(e)
+        finally:
+            query.stop()
+        assert seen == ([(0, 0, 10), (1, 10, 10)] if rows == 0 else [(2, 20, 10), (3, 30, 10), (4, 40, 5)])
+
+
+def test_paced_read_of_no_file(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    out = str(tmp_path / "out")
+    files = spark.createDataFrame([], "path string, length bigint")
+    paced.drain(paced.paced_read(spark, str(tmp_path / "files"), files, 10), out, out + "-state")
+    assert paced.paced_totals(spark, out).count() == 0
