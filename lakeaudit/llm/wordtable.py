@@ -1,9 +1,10 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Words (pieces that encode on their own) are counted in Spark and each distinct one
-is encoded once, into a table of words and ids. Ids come back to a text's word
-positions by a join: with the most frequent words in place, from a broadcast part of
-the table of bounded size, with all others through a shuffled join on the word.
+is encoded once. Ids come back to a text's word positions: those of the most frequent
+words in place, from a broadcast table of words and ids of bounded size; those of all
+others by shuffles, in which the places of a word meet, take its ids and are joined
+with their texts again.
 Decoding joins ids with the vocabulary's pieces, a table as large as the vocabulary.
 """
 
@@ -18,38 +19,61 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import small_batches, stored, tidy
-from lakeaudit.llm.pieces import added_tokens, coded, encode, pieces, spread, tokenizer
+from lakeaudit.llm.common import small_batches, tidy
+from lakeaudit.llm.pieces import added_tokens, coded_texts, encode, spread, tokenizer
 
 #: The broadcast part: so many words, none longer than so many characters.
 COMMON_WORDS = 500_000
 COMMON_LENGTH = 48
-_BATCH_PIECES = 2_000_000
+#: Longer words are dealt over so many tasks each, so each of them is encoded at most so many times.
+LONG_PARTS = 64
+_BATCH_BYTES = 8 << 20
 _DECODED_BYTES = 2_000_000
 
 
+def _counted_words(added: list[str]):
+    """(word, n) of the words of each batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                words, at, _ = coded_texts(part.column("text"), added)
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)).astype(np.int64))], ["word", "n"])
+
+    return run
+
+
+def _ids_of(path: str, words: pa.Array) -> pa.Array:
+    return pa.array([np.array(i, "<u4").tobytes() for i in encode(path, words.to_pylist())], pa.binary())
+
+
 def _encoded_words(path: str):
+    """The rows with ids instead of words; a batch's equal words are encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array(i, "<u4").tobytes() for i in encode(path, batch.column("word").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            words = batch.column("word").dictionary_encode()
+            rest = [c for c in batch.schema.names if c != "word"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], _ids_of(path, words.dictionary).take(words.indices)], [*rest, "ids"])
 
     return run
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n, ids of every distinct word of ``docs``: ids as little-endian 32-bit integers."""
-    words = docs.select(F.explode(pieces(F.col("text"), added_tokens(path))).alias("word"))
-    words = words.groupBy("word").agg(F.count("*").alias("n"))
-    return stored(words.mapInArrow(tidy(_encoded_words(path)), "word string, n long, ids binary"), "word-table")
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """word, n of every distinct word of ``docs`` (text)."""
+    words = docs.select("text").mapInArrow(tidy(_counted_words(added_tokens(path))), "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _common(table: DataFrame, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _common(counts: DataFrame, path: str, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The most frequent words, their ids one after the other, and the number of each word's."""
-    rows = table.where(F.length("word") <= COMMON_LENGTH).orderBy(F.desc("n"), "word").limit(words).select("word", "ids").toArrow()
+    most = counts.where(F.length("word") <= COMMON_LENGTH).orderBy(F.desc("n"), "word").limit(words)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = most.select("word", F.col("word").alias("name")).repartition(tasks, "word")
+    rows = named.mapInArrow(tidy(_encoded_words(path)), "name string, ids binary").toArrow()
     ids = rows.column("ids").combine_chunks()
     sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return rows.column("word").combine_chunks().cast(pa.string()), np.frombuffer(b"".join(ids.to_pylist()), "<u4"), sizes
+    return rows.column("name").combine_chunks().cast(pa.string()), np.frombuffer(b"".join(ids.to_pylist()), "<u4"), sizes
 
 
 def _joined(values: pa.Array, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -60,20 +84,20 @@ def _joined(values: pa.Array, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
     return memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
 
 
-def _looked_up(part: pa.RecordBatch, common):
+def _looked_up(part: pa.RecordBatch, common, added: list[str]):
     """Place in the common words of each piece, -1 for others; pieces, their numbers, pieces a row."""
-    words, at, lengths = coded(part.column("pieces"))
+    words, at, lengths = coded_texts(part.column("text"), added)
     known = pc.fill_null(pc.index_in(words.cast(pa.string()), common[0]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     return known[at] if len(at) else at, words, at, lengths
 
 
-def _others(common):
+def _others(common, added: list[str]):
     """(doc_id, h, at, word) of every piece that is no common word; ``at`` counts the row's other pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in small_batches(iter([batch]), "pieces", _BATCH_PIECES):
-                place, words, at, lengths = _looked_up(part, common.value)
+            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                place, words, at, lengths = _looked_up(part, common.value, added)
                 row = np.repeat(np.arange(len(lengths)), lengths)[place < 0]
                 if len(row):
                     counts = np.bincount(row, minlength=len(lengths))
@@ -95,14 +119,14 @@ def _packed(pack, values: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
     ]
 
 
-def _in_place(common):
+def _in_place(common, added: list[str]):
     """(doc_id, h, common words as ranks, gaps): after how many common words each other piece belongs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3)
         for batch in batches:
-            for part in small_batches(iter([batch]), "pieces", _BATCH_PIECES):
-                place, _, _, lengths = _looked_up(part, common.value)
+            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                place, _, _, lengths = _looked_up(part, common.value, added)
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 own = place >= 0
                 have = np.bincount(row[own], minlength=len(lengths))
@@ -151,20 +175,23 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     """
     added = added_tokens(path)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    table = word_table(own, path)
-    common = docs.sparkSession.sparkContext.broadcast(_common(table, common_words))
+    common = docs.sparkSession.sparkContext.broadcast(_common(word_counts(own, path), path, common_words))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # id and hash name a row; equal rows have equal pieces, so their common name does no harm
-    cut = own.select("doc_id", F.xxhash64("text").alias("h"), pieces(F.col("text"), added).alias("pieces"))
-    others = cut.mapInArrow(tidy(_others(common)), f"doc_id {kind}, h long, at int, word string")
-    others = others.join(table.select("word", "ids"), "word")
+    rows = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    others = rows.mapInArrow(tidy(_others(common, added)), f"doc_id {kind}, h long, at int, word string")
+    # equal words meet in one task, one after the other; words too long to be common may be in most texts, so they are dealt
+    deal = F.when(F.length("word") > COMMON_LENGTH, F.pmod("h", F.lit(LONG_PARTS))).otherwise(F.lit(0))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = others.repartition(tasks, "word", deal).sortWithinPartitions("word")
+    others = others.mapInArrow(tidy(_encoded_words(path)), f"doc_id {kind}, h long, at int, ids binary")
     # a text's words come from many tasks, so combining them before the shuffle would only add to it
     others = others.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "at", "ids").repartition("o_id", "o_h")
     others = others.groupBy("o_id", "o_h").agg(F.collect_set(F.struct("at", "ids")).alias("others"))
-    placed = cut.mapInArrow(tidy(_in_place(common)), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
-    rows = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
-    rows = rows.select("doc_id", "low", "middle", "high", "gaps", "others")
-    return rows.mapInArrow(tidy(_merged(common)), f"doc_id {kind}, ids binary")
+    placed = rows.mapInArrow(tidy(_in_place(common, added)), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
+    found = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
+    found = found.select("doc_id", "low", "middle", "high", "gaps", "others")
+    return found.mapInArrow(tidy(_merged(common)), f"doc_id {kind}, ids binary")
 
 
 def _byte_of() -> dict[str, int]:

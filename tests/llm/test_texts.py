@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -135,15 +136,29 @@ def expected(tok, text):
 
 
 def test_bpe_equals_library(spark, path):
-    tok, rows = tokenizer(path), spark.createDataFrame(ODD, DOCS).withColumn("ids", F.lit(1)).withColumn("word", F.lit(2))
+    texts = ODD + [(i, "x" * 70 + f" {'yz' * 90} w{i % 3}") for i in range(10, 30)]
+    tok, rows = tokenizer(path), spark.createDataFrame(texts, DOCS).withColumn("ids", F.lit(1)).withColumn("word", F.lit(2))
     for common in (10, 100_000):
         got = wordtable.digest(wordtable.decode_ids(wordtable.encode_texts(rows, path, common), path)).collect()
-        assert Counter(map(tuple, got)) == Counter((i, *expected(tok, t)) for i, t in ODD)
+        assert Counter(map(tuple, got)) == Counter((i, *expected(tok, t)) for i, t in texts)
     assert wordtable.encode_texts(rows.limit(0), path).count() == 0
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab \n\t.,'!<|>1é 　́中\x1c\x85")), max_size=30))
+def test_pieces_of_a_batch_are_those_of_each_text(text):
+    from lakeaudit.llm.pieces import text_pieces
+
+    for added in ([], ["<|endoftext|>"]):
+        rows = [text, None, "", f"{text}<|endoftext|>{text}", "é<|endoftext|><|endoftext|> a", text]
+        flat, counts = text_pieces(pa.array(["before", *rows, "after"]).slice(1, len(rows)), added)
+        want = [cut(row or "", added) for row in rows]
+        assert flat.to_pylist() == [p for w in want for p in w] and counts.tolist() == [len(w) for w in want]
+    assert text_pieces(pa.array([], pa.string()), [])[0].to_pylist() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab \n\t.,'!<|>1é 　́中\x1c\x85")), max_size=30))
 def test_pieces_encode_on_their_own(text):
     from lakeaudit.llm.pieces import default_path
 
