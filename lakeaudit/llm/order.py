@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import mix, small_batches, stored
-from lakeaudit.llm.pieces import Encoder, added_tokens, coded, pieces, spread, tokenizer
+from lakeaudit.llm.pieces import Encoder, added_tokens, coded_texts, spread, tokenizer
 
 SEQUENCE = 256
 SHARD_ROWS = 16_384
 ROUNDS = 6
-_BATCH_PIECES = 2_000_000
+_BATCH_BYTES = 8 << 20
 
 
 def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
@@ -56,9 +56,9 @@ def _item(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 65_536 else "<u4"
 
 
-def _packed(pack, ids: np.ndarray) -> bytes:
-    """Compressed ids, all first bytes before all second ones: they repeat more among themselves."""
-    return pack.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes())
+def _planes(ids: np.ndarray) -> bytes:
+    """All first bytes of ids before all second ones: they repeat more among themselves."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes()
 
 
 def _unpacked(unpack, packed: bytes, item: str) -> bytes:
@@ -66,15 +66,15 @@ def _unpacked(unpack, packed: bytes, item: str) -> bytes:
     return np.ascontiguousarray(data.T).tobytes()
 
 
-def _sequences(path: str, length: int):
+def _sequences(path: str, length: int, added: list[str]):
     """(task, row, doc_id, part, n, ids): the sequences of each text, numbered within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack, item = Encoder(path), zstandard.ZstdCompressor(3), _item(path)
+        encoder, item = Encoder(path), _item(path)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in small_batches(iter([batch]), "pieces", _BATCH_PIECES):
-                words, at, lengths = coded(part.column("pieces"))
+            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                words, at, lengths = coded_texts(part.column("text"), added)
                 flat, sizes = encoder.ids(words.to_pylist())
                 ids = spread(flat, sizes, at).astype(item)
                 ends = np.concatenate(([0], np.cumsum(sizes[at])))[np.cumsum(lengths)]
@@ -88,7 +88,7 @@ def _sequences(path: str, length: int):
                     [
                         pa.array(np.full(len(doc), task, np.int32)), pa.array(row + np.arange(len(doc), dtype=np.int64)),
                         part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array((stop - start).astype(np.int32)),
-                        pa.array([_packed(pack, ids[a:b]) for a, b in zip(start, stop)], pa.binary()),
+                        pa.array([_planes(ids[a:b]) for a, b in zip(start, stop)], pa.binary()),
                     ],
                     ["task", "row", "doc_id", "part", "n", "ids"],
                 )
@@ -99,11 +99,15 @@ def _sequences(path: str, length: int):
 
 def _slotted(starts: dict[int, int], total: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3)
         for batch in batches:
             task = batch.column("task").to_numpy()
             number = np.array([starts[t] for t in task], np.int64) + batch.column("row").to_numpy()
-            names = ["doc_id", "part", "n", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(slots(number, total, key)), *[batch.column(c) for c in names]], ["slot", *names])
+            # files are compressed as a whole, rows of a shuffle each on its own
+            packed = pa.array([pack.compress(i) for i in batch.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots(number, total, key)), *[batch.column(c) for c in ("doc_id", "part", "n")], packed], ["slot", "doc_id", "part", "n", "ids"]
+            )
 
     return run
 
@@ -160,8 +164,8 @@ def materialise(
     when the result is computed; computing it again writes the same.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = docs.select("doc_id", pieces(F.col("text"), added_tokens(path)).alias("pieces"))
-    rows = cut.mapInArrow(_sequences(path, length), f"task int, row long, doc_id {kind}, part int, n int, ids binary")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(_sequences(path, length, added_tokens(path)), f"task int, row long, doc_id {kind}, part int, n int, ids binary")
     rows = stored(rows, "sequences")
     # one number for each task of the reading stage
     counts = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}

@@ -43,18 +43,36 @@ def _counted_words(added: list[str]):
     return run
 
 
-def _ids_of(path: str, words: pa.Array) -> pa.Array:
-    return pa.array([np.array(i, "<u4").tobytes() for i in encode(path, words.to_pylist())], pa.binary())
+def _width(path: str) -> str:
+    return "<u2" if tokenizer(path).get_vocab_size() <= 65_536 else "<u4"
+
+
+def _ids_of(path: str, words: pa.Array, width: str = "<u4") -> pa.Array:
+    return pa.array([np.array(i, width).tobytes() for i in encode(path, words.to_pylist())], pa.binary())
 
 
 def _encoded_words(path: str):
-    """The rows with ids instead of words; a batch's equal words are encoded once."""
+    """(word, n, ids as little-endian 32-bit integers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _ids_of(path, batch.column("word"))], ["word", "n", "ids"])
+
+    return run
+
+
+def _encoded_places(path: str):
+    """(doc_id, h, code): place and ids of a word as one byte string, in whose order places stand; a batch's equal words are encoded once."""
+    width = _width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("word").dictionary_encode()
-            rest = [c for c in batch.schema.names if c != "word"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], _ids_of(path, words.dictionary).take(words.indices)], [*rest, "ids"])
+            ids = _ids_of(path, words.dictionary, width).take(words.indices)
+            at = batch.column("at").to_numpy().astype(">u4").tobytes()
+            at = pa.Array.from_buffers(pa.binary(4), batch.num_rows, [None, pa.py_buffer(at)]).cast(pa.binary())
+            code = pc.binary_join_element_wise(at, ids, pa.scalar(b"", pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), code], ["doc_id", "h", "code"])
 
     return run
 
@@ -69,11 +87,12 @@ def _common(counts: DataFrame, path: str, words: int) -> tuple[pa.Array, np.ndar
     """The most frequent words, their ids one after the other, and the number of each word's."""
     most = counts.where(F.length("word") <= COMMON_LENGTH).orderBy(F.desc("n"), "word").limit(words)
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = most.select("word", F.col("word").alias("name")).repartition(tasks, "word")
-    rows = named.mapInArrow(tidy(_encoded_words(path)), "name string, ids binary").toArrow()
+    rows = most.select("word", "n").repartition(tasks, "word").mapInArrow(tidy(_encoded_words(path)), "word string, n long, ids binary")
+    # the most frequent first: a text's numbers of words are then small and compress well
+    rows = rows.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     ids = rows.column("ids").combine_chunks()
     sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return rows.column("name").combine_chunks().cast(pa.string()), np.frombuffer(b"".join(ids.to_pylist()), "<u4"), sizes
+    return rows.column("word").combine_chunks().cast(pa.string()), np.frombuffer(b"".join(ids.to_pylist()), "<u4"), sizes
 
 
 def _joined(values: pa.Array, at: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -144,7 +163,9 @@ def _in_place(common, added: list[str]):
     return run
 
 
-def _merged(common):
+def _merged(common, path: str):
+    width = _width(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         _, flat, sizes = common.value
@@ -157,8 +178,9 @@ def _merged(common):
                 if others:
                     before = np.cumsum(np.frombuffer(unpack.decompress(gaps), "<i4"))
                     at = np.concatenate(([0], np.cumsum(sizes[ranks])))[before] if len(ranks) else before * 0
-                    found = [np.frombuffer(o["ids"], "<u4") for o in sorted(others, key=lambda o: o["at"])]
-                    ids = np.insert(ids, np.repeat(at, [len(f) for f in found]), np.concatenate(found))
+                    codes = sorted(others)
+                    found = np.frombuffer(b"".join(c[4:] for c in codes), width)
+                    ids = np.insert(ids, np.repeat(at, [(len(c) - 4) // found.itemsize for c in codes]), found)
                 out.append(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
@@ -184,14 +206,14 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     deal = F.when(F.length("word") > COMMON_LENGTH, F.pmod("h", F.lit(LONG_PARTS))).otherwise(F.lit(0))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     others = others.repartition(tasks, "word", deal).sortWithinPartitions("word")
-    others = others.mapInArrow(tidy(_encoded_words(path)), f"doc_id {kind}, h long, at int, ids binary")
+    others = others.mapInArrow(tidy(_encoded_places(path)), f"doc_id {kind}, h long, code binary")
     # a text's words come from many tasks, so combining them before the shuffle would only add to it
-    others = others.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "at", "ids").repartition("o_id", "o_h")
-    others = others.groupBy("o_id", "o_h").agg(F.collect_set(F.struct("at", "ids")).alias("others"))
+    others = others.select(F.col("doc_id").alias("o_id"), F.col("h").alias("o_h"), "code").repartition("o_id", "o_h")
+    others = others.groupBy("o_id", "o_h").agg(F.collect_set("code").alias("others"))
     placed = rows.mapInArrow(tidy(_in_place(common, added)), f"doc_id {kind}, h long, low binary, middle binary, high binary, gaps binary")
     found = placed.join(others, (F.col("h") == F.col("o_h")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
     found = found.select("doc_id", "low", "middle", "high", "gaps", "others")
-    return found.mapInArrow(tidy(_merged(common)), f"doc_id {kind}, ids binary")
+    return found.mapInArrow(tidy(_merged(common, path)), f"doc_id {kind}, ids binary")
 
 
 def _byte_of() -> dict[str, int]:
