@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import small_batches, tidy
+from lakeaudit.llm.common import shuffles_freed, small_batches, tidy
 from lakeaudit.llm.pieces import added_tokens, coded_texts, encode, spread, tokenizer
 
 #: The broadcast part: so many words, none longer than so many characters.
@@ -197,7 +197,9 @@ def encode_texts(docs: DataFrame, path: str, common_words: int = COMMON_WORDS) -
     """
     added = added_tokens(path)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(word_counts(own, path), path, common_words))
+    with shuffles_freed(docs.sparkSession):
+        table = _common(word_counts(own, path), path, common_words)
+    common = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # id and hash name a row; equal rows have equal pieces, so their common name does no harm
     rows = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
