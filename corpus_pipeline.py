@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand anywhere else; characters that are cut in two go whole."""
+    """Texts without the strings of 200 bytes (about 40 words) that stand anywhere else; characters that are cut in two go whole."""
     _small_batches(spark)
     removed = repeats.remove_repeats(docs).where(F.size("spans") > 0)
     changed = stored(removed.select("doc_id", "h", "kept").withColumn("new", repeats.as_text("kept")).drop("kept").distinct(), "pipeline-cut")
@@ -46,9 +46,10 @@ def byte_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item and held none before repeats were cut, which may leave half an item."""
     _small_batches(spark)
-    found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    before = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.contaminated(docs.select("doc_id", "text").unionByName(before), table(spark, sf_dir, "benchmark"))
     return without(docs, stored(found.select("doc_id").distinct(), "pipeline-leaks"))
 
 
