@@ -13,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import list_column, small_batches
-from lakeaudit.llm.pieces import Encoder, added_tokens, coded, cut, pieces
+from lakeaudit.llm.pieces import Encoder, added_tokens, coded_texts, cut
 
 LEAF = 16
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
-# What a task holds at once of the pieces, and of the bytes of text under edit.
-_BATCH_PIECES = 250_000
+# What a task holds at once of the bytes of text to cut, and of those under edit.
+_BATCH_BYTES = 2_000_000
 _EDITED_BYTES = 4_000_000
 
 
@@ -95,22 +96,21 @@ def edit(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: Enc
     return text[:start] + insert + text[stop:], tree, len(parts)
 
 
-def _built(path: str):
+def _built(path: str, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for part in small_batches(iter([batch]), "pieces", _BATCH_PIECES):
-                words, at, lengths = coded(part.column("pieces"))
-                words = words.to_pylist()
-                values = np.stack((np.array([len(w) for w in words], np.int64), encoder.ids(words)[1]), axis=1) if words else np.zeros((0, 2), np.int64)
+            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                words, at, lengths = coded_texts(part.column("text"), added)
+                chars = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = np.stack((chars, encoder.ids(words.to_pylist())[1]), axis=1)
                 leaves = -(-lengths // LEAF)
                 number = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 heads = np.flatnonzero(number % LEAF == 0)
                 sums = np.add.reduceat(values[at], heads, axis=0) if len(heads) else values[:0]
-                rest = [c for c in part.schema.names if c != "pieces"]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in rest], list_column(sums[:, 0], leaves, pa.int64()), list_column(sums[:, 1], leaves, pa.int64())],
-                    [*rest, "leaf_chars", "leaf_tokens"],
+                    [part.column("doc_id"), part.column("text"), list_column(sums[:, 0], leaves, pa.int64()), list_column(sums[:, 1], leaves, pa.int64())],
+                    ["doc_id", "text", "leaf_chars", "leaf_tokens"],
                 )
 
     return run
@@ -124,8 +124,8 @@ def build_trees(docs: DataFrame, path: str) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), pieces(text, added_tokens(path)).alias("pieces"))
-    return rows.mapInArrow(_built(path), f"doc_id {kind}, text string, leaf_chars array<long>, leaf_tokens array<long>")
+    rows = docs.select("doc_id", text.alias("text"))
+    return rows.mapInArrow(_built(path, added_tokens(path)), f"doc_id {kind}, text string, leaf_chars array<long>, leaf_tokens array<long>")
 
 
 def apply_edits(trees: DataFrame, path: str) -> DataFrame:

@@ -28,6 +28,7 @@ _MARK = r"!-&(-/:-@\[-`{-~"
 CUT = rf"(?=[ \t\n\r{_MARK}])(?:(?=[ \t\n\r])(?<=[{_SEEN}])|(?<=[{_LETTER}])(?=[{_MARK}]))"
 _KEPT = 300_000
 _AT_ONCE = 10_000
+_JOINED = 250
 
 
 def default_path() -> str:
@@ -119,11 +120,56 @@ def tokenizer(path: str):
     return loaded
 
 
+@lru_cache(maxsize=2)
+def _joins(path: str) -> tuple[np.ndarray, bool]:
+    """The bytes of each id of a byte-level vocabulary, and whether its added tokens leave blanks between words alone."""
+    own = tokenizer(path)
+    added = set(added_tokens(path))
+    sizes = np.zeros(own.get_vocab_size(), np.int64)
+    for piece, number in own.get_vocab().items():
+        sizes[number] = len(piece.encode()) if piece in added else len(piece)
+    return sizes, not any(re.search(r"\s", a) for a in added)
+
+
+#: A word that is cut off from any other before and behind it.
+_APART = re.compile(rf"[ \t\n\r].*[{_SEEN}]", re.DOTALL)
+
+
+def encode_flat(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, each encoded on its own, joined; and the number of each word's ids.
+
+    Words between which a text is always cut are encoded as one string, which spares the library's
+    work for each call; where one ends and the next begins is read from the bytes of the ids.
+    """
+    own, (sizes, joins) = tokenizer(path), _joins(path)
+    order = np.array([joins and _APART.fullmatch(w) is not None for w in words], bool)
+    apart, other = np.flatnonzero(order), np.flatnonzero(~order)
+    counts = np.zeros(len(words), np.int64)
+    found: list[np.ndarray] = []
+    for a in range(0, len(apart), _AT_ONCE):  # the library's results are far larger than their ids
+        some = [words[i] for i in apart[a : a + _AT_ONCE].tolist()]
+        texts = ["".join(some[k : k + _JOINED]) for k in range(0, len(some), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in own.encode_batch(texts, add_special_tokens=False)])
+        ends = np.cumsum([len(w.encode()) for w in some])
+        last = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+        counts[apart[a : a + _AT_ONCE]] = np.diff(last, prepend=0)
+        found.append(ids)
+    for a in range(0, len(other), _AT_ONCE):
+        ids_of = [e.ids for e in own.encode_batch([words[i] for i in other[a : a + _AT_ONCE].tolist()], add_special_tokens=False)]
+        counts[other[a : a + _AT_ONCE]] = [len(i) for i in ids_of]
+        found.append(np.array([x for i in ids_of for x in i], np.uint32))
+    flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    if not len(other):
+        return flat, counts
+    place = np.empty(len(words), np.int64)
+    place[np.concatenate((apart, other))] = np.arange(len(words))
+    return spread(flat, counts[np.concatenate((apart, other))], place), counts
+
+
 def encode(path: str, words: list[str]) -> list[list[int]]:
-    own, out = tokenizer(path), []
-    for a in range(0, len(words), _AT_ONCE):  # the library's results are far larger than their ids
-        out += [e.ids for e in own.encode_batch(words[a : a + _AT_ONCE], add_special_tokens=False)]
-    return out
+    flat, counts = encode_flat(path, words)
+    ends = np.cumsum(counts)
+    return [flat[a:b].tolist() for a, b in zip((ends - counts).tolist(), ends.tolist())]
 
 
 def coded_texts(column: pa.Array, added: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -158,6 +204,9 @@ class Encoder:
         if len(self.known) > _KEPT:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, (np.array(i, np.uint32).tobytes() for i in encode(self.path, new))))
+        if new:
+            flat, counts = encode_flat(self.path, new)
+            flat, ends = flat.tobytes(), 4 * np.cumsum(counts)
+            self.known.update(zip(new, (flat[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist()))))
         found = [self.known[w] for w in words]
         return np.frombuffer(b"".join(found), np.uint32), np.array([len(f) for f in found], np.int64) // 4

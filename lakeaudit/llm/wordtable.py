@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import shuffles_freed, small_batches, tidy
-from lakeaudit.llm.pieces import added_tokens, coded_texts, encode, spread, tokenizer
+from lakeaudit.llm.pieces import added_tokens, coded_texts, encode_flat, spread, tokenizer
 
 #: The broadcast part: so many words, none longer than so many characters.
 COMMON_WORDS = 500_000
@@ -48,7 +48,10 @@ def _width(path: str) -> str:
 
 
 def _ids_of(path: str, words: pa.Array, width: str = "<u4") -> pa.Array:
-    return pa.array([np.array(i, width).tobytes() for i in encode(path, words.to_pylist())], pa.binary())
+    flat, counts = encode_flat(path, words.to_pylist())
+    flat = flat.astype(width)
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * np.int32(flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
 
 
 def _encoded_words(path: str):
