@@ -3,8 +3,9 @@
 Texts become sequences of a fixed number of ids. Sequences are numbered without gaps
 in the order they are read, and a keyed Feistel permutation with cycle-walking gives
 each number its slot: a shuffle of any size that needs no shuffle to compute. Slots
-are dealt in ranges to tasks that write shards of fixed-stride records, so slot s is
-record s mod shard_rows of shard s div shard_rows, and reading can resume anywhere.
+are dealt in ranges, what a task has for a range packed as one row, to tasks that
+write shards of fixed-stride records, so slot s is record s mod shard_rows of shard
+s div shard_rows, and reading can resume anywhere.
 
 A record is the number of its ids as a little-endian unsigned 32-bit integer, the ids
 as unsigned 16-bit integers (32-bit for vocabularies over 65,536), then zeros.
@@ -24,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.llm.common import mix, small_batches, stored
-from lakeaudit.llm.pieces import Encoder, added_tokens, coded_texts, spread, tokenizer
+from lakeaudit.llm.pieces import added_tokens, coded_texts, lasting_encoder, spread, tokenizer
 
 SEQUENCE = 256
 SHARD_ROWS = 16_384
 ROUNDS = 6
+BUCKET_SHARDS = 8
 _BATCH_BYTES = 8 << 20
+# Ids that a task deals out at once, words it remembers, and how hard ids are packed between stages.
+_DEALT_BYTES = 24 << 20
+_KNOWN_WORDS = 700_000
+_LEVEL = 6
 
 
 def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
@@ -56,96 +62,133 @@ def _item(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 65_536 else "<u4"
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """All first bytes of ids before all second ones: they repeat more among themselves."""
-    return np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes()
-
-
-def _unpacked(unpack, packed: bytes, item: str) -> bytes:
-    data = np.frombuffer(unpack.decompress(packed), np.uint8).reshape(int(item[-1]), -1)
-    return np.ascontiguousarray(data.T).tobytes()
+def _listed(values: pa.Array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
 
 
 def _sequences(path: str, length: int, added: list[str]):
-    """(task, row, doc_id, part, n, ids): the sequences of each text, numbered within the task."""
+    """(task, first, rows, doc_id, part, n, ids): the sequences of some texts in one row, numbered from ``first`` within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, item = Encoder(path), _item(path)
+        encoder, item, pack = lasting_encoder(path, _KNOWN_WORDS), _item(path), zstandard.ZstdCompressor(_LEVEL)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in small_batches(iter([batch]), "text", _BATCH_BYTES):
-                words, at, lengths = coded_texts(part.column("text"), added)
+            for some in small_batches(iter([batch]), "text", _BATCH_BYTES):
+                words, at, lengths = coded_texts(some.column("text"), added)
                 flat, sizes = encoder.ids(words.to_pylist())
-                ids = spread(flat, sizes, at).astype(item)
+                ids = spread(flat.astype(item), sizes, at)
                 ends = np.concatenate(([0], np.cumsum(sizes[at])))[np.cumsum(lengths)]
                 begins = np.concatenate(([0], ends[:-1]))
                 counts = -(-(ends - begins) // length)
                 doc = np.repeat(np.arange(len(counts)), counts)
+                if not len(doc):
+                    continue
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = begins[doc] + number * length
-                stop = np.minimum(start + length, ends[doc])
+                n = np.minimum(length, ends[doc] - begins[doc] - number * length)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(doc), task, np.int32)), pa.array(row + np.arange(len(doc), dtype=np.int64)),
-                        part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array((stop - start).astype(np.int32)),
-                        pa.array([_planes(ids[a:b]) for a, b in zip(start, stop)], pa.binary()),
+                        pa.array([task], pa.int32()), pa.array([row], pa.int64()), pa.array([len(doc)], pa.int64()),
+                        _listed(some.column("doc_id").take(pa.array(doc)), [len(doc)]), _listed(pa.array(number.astype(np.int32)), [len(doc)]),
+                        _listed(pa.array(n.astype(np.int32)), [len(doc)]), pa.array([pack.compress(ids.tobytes())], pa.binary()),
                     ],
-                    ["task", "row", "doc_id", "part", "n", "ids"],
+                    ["task", "first", "rows", "doc_id", "part", "n", "ids"],
                 )
                 row += len(doc)
 
     return run
 
 
-def _slotted(starts: dict[int, int], total: int, key: int):
+def _slotted(path: str, starts: dict[int, int], total: int, key: int, rows: int):
+    """(bucket, slot, doc_id, part, n, ids): what a task has for each range of ``rows`` slots, in one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3)
-        for batch in batches:
-            task = batch.column("task").to_numpy()
-            number = np.array([starts[t] for t in task], np.int64) + batch.column("row").to_numpy()
-            # files are compressed as a whole, rows of a shuffle each on its own
-            packed = pa.array([pack.compress(i) for i in batch.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots(number, total, key)), *[batch.column(c) for c in ("doc_id", "part", "n")], packed], ["slot", "doc_id", "part", "n", "ids"]
+        pack, unpack, item = zstandard.ZstdCompressor(_LEVEL), zstandard.ZstdDecompressor(), _item(path)
+        held: list[tuple] = []
+
+        def dealt() -> pa.RecordBatch:
+            slot, n, ids = (np.concatenate([h[i] for h in held]) for i in range(3))
+            doc, part = (pa.concat_arrays([h[i] for h in held]) for i in (3, 4))
+            held.clear()
+            order = np.argsort(slot)
+            bucket = slot[order] // rows
+            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+            take = pa.array(order)
+            packed = [pack.compress(spread(ids, n, order[a:b]).tobytes()) for a, b in zip([0, *ends[:-1]], ends)]
+            lists = [pa.array(slot[order]), doc.take(take), part.take(take), pa.array(n[order].astype(np.int32))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[ends - 1]), *[_listed(values, ends.tolist()) for values in lists], pa.array(packed, pa.binary())],
+                ["bucket", "slot", "doc_id", "part", "n", "ids"],
             )
 
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = {c: batch.column(c).slice(k, 1) for c in batch.schema.names}
+                first = starts[own["task"][0].as_py()] + own["first"][0].as_py()
+                n = own["n"].flatten().to_numpy().astype(np.int64)
+                ids = np.frombuffer(unpack.decompress(own["ids"][0].as_py()), item)
+                held.append((slots(first + np.arange(len(n)), total, key), n, ids, own["doc_id"].flatten(), own["part"].flatten()))
+                if sum(h[2].nbytes for h in held) >= _DEALT_BYTES:
+                    yield dealt()
+        if held:
+            yield dealt()
+
     return run
 
 
-def _written(folder: str, path: str, length: int, shard_rows: int):
-    """Writes the shards of a task's rows, sorted by slot, and passes on what is where."""
+def _written(folder: str, path: str, total: int, length: int, shard_rows: int, rows: int):
+    """Writes the shards of a task's buckets, each filled by slot, and passes on what is where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, item = zstandard.ZstdDecompressor(), _item(path)
+        unpack, item = zstandard.ZstdDecompressor(), np.dtype(_item(path))
         store, top = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(top, recursive=True)
-        out, now, name = None, None, None
-
-        def close():
-            if out is not None:
-                out.close()
+        stride = 4 + length * item.itemsize
+        held: list[tuple] = []
+
+        def whole(bucket: int) -> pa.RecordBatch:
+            base = bucket * rows
+            records = np.zeros((min(rows, total - base), stride), np.uint8)
+            for slot, n, _, _, ids in held:
+                at = slot - base
+                records[at, :4] = n.astype("<u4").view(np.uint8).reshape(-1, 4)
+                place = np.repeat(at * stride + 4 - item.itemsize * (np.cumsum(n) - n), n) + item.itemsize * np.arange(len(ids))
+                for byte in range(item.itemsize):
+                    records.reshape(-1)[place + byte] = ids.view(np.uint8)[byte :: item.itemsize]
+            for a in range(0, len(records), shard_rows):
+                shard = (base + a) // shard_rows
+                name = f"{top}/_{shard:08d}-{uuid.uuid4().hex}"
+                with store.open_output_stream(name) as out:
+                    out.write(records[a : a + shard_rows].tobytes())
                 # only a whole shard gets its name; a second try of a task replaces it by the same bytes
-                store.move(name, f"{top}/shard-{now:08d}.bin")
-
-        for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            for s, n, packed in zip(slot.tolist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                if s // shard_rows != now:
-                    close()
-                    now = s // shard_rows
-                    name = f"{top}/_{now:08d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(name)
-                ids = _unpacked(unpack, packed, item)
-                out.write(np.uint32(n).astype("<u4").tobytes() + ids.ljust(length * np.dtype(item).itemsize, b"\0"))
-            stride = 4 + length * np.dtype(item).itemsize
-            yield pa.RecordBatch.from_arrays(
+                store.move(name, f"{top}/shard-{shard:08d}.bin")
+            slot, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(slot)
+            slot, take = slot[order], pa.array(order)
+            doc, part = (pa.concat_arrays([h[i] for h in held]).take(take) for i in (2, 3))
+            held.clear()
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array(slot), pa.array((slot // shard_rows).astype(np.int32)), pa.array(slot % shard_rows * stride),
-                    *[batch.column(c) for c in ("doc_id", "part", "n")],
+                    doc, part, pa.array(n[order].astype(np.int32)),
                 ],
                 ["slot", "shard", "offset", "doc_id", "part", "n_tokens"],
             )
-        close()
+
+        now = None
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if held and bucket != now:
+                    yield whole(now)
+                now = bucket
+                own = {c: batch.column(c).slice(k, 1) for c in ("slot", "n", "doc_id", "part", "ids")}
+                held.append(
+                    (
+                        own["slot"].flatten().to_numpy(), own["n"].flatten().to_numpy().astype(np.int64), own["doc_id"].flatten(),
+                        own["part"].flatten(), np.frombuffer(unpack.decompress(own["ids"][0].as_py()), item),
+                    )
+                )
+        if held:
+            yield whole(now)
 
     return run
 
@@ -161,25 +204,28 @@ def materialise(
     ``length``; a null or empty text has no sequence. Repeated rows and null ids stay;
     further columns are not read; an empty table writes nothing. Numbers follow the
     order of the input's files, slots the numbers and ``key`` alone. The shards are written
-    when the result is computed; computing it again writes the same.
+    when the result is computed; computing it again writes the same. A task holds at most
+    ``BUCKET_SHARDS`` shards at once.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_sequences(path, length, added_tokens(path)), f"task int, row long, doc_id {kind}, part int, n int, ids binary")
+    listed = f"doc_id array<{kind}>, part array<int>, n array<int>, ids binary"
+    rows = texts.mapInArrow(_sequences(path, length, added_tokens(path)), f"task int, first long, rows long, {listed}")
     rows = stored(rows, "sequences")
     # one number for each task of the reading stage
-    counts = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    counts = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.sum("rows").alias("n")).collect()}
     starts, total = {}, 0
     for task in sorted(counts):
         starts[task] = total
         total += counts[task]
-    placed = rows.mapInArrow(_slotted(starts, total, key), f"slot long, doc_id {kind}, part int, n int, ids binary")
-    shard = F.expr(f"slot div {shard_rows}")
-    # more tasks than shards would stand idle; more shards than that go to a task one after the other
-    tasks = max(1, min(-(-total // shard_rows), 4 * docs.sparkSession.sparkContext.defaultParallelism, 10_000))
-    placed = placed.repartitionByRange(tasks, shard).sortWithinPartitions("slot")
+    shards = -(-total // shard_rows)
+    # shards are dealt in ranges: several to a task where there are more than the tasks that run at a time
+    each = max(1, min(BUCKET_SHARDS, -(-shards // (4 * docs.sparkSession.sparkContext.defaultParallelism))))
+    tasks = max(1, min(-(-shards // each), 10_000))
+    placed = rows.mapInArrow(_slotted(path, starts, total, key, each * shard_rows), f"bucket long, slot array<long>, {listed}")
+    placed = placed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(
-        _written(folder, path, length, shard_rows),
+        _written(folder, path, total, length, shard_rows, each * shard_rows),
         f"slot long, shard int, offset long, doc_id {kind}, part int, n_tokens int",
     )
 

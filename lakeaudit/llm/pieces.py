@@ -196,12 +196,12 @@ def spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes pieces in a task, each distinct one once while it is remembered."""
 
-    def __init__(self, path: str):
-        self.path, self.known = path, {}
+    def __init__(self, path: str, kept: int = _KEPT):
+        self.path, self.known, self.kept = path, {}, kept
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, joined, and the number of each word's ids."""
-        if len(self.known) > _KEPT:
+        if len(self.known) > self.kept:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
@@ -210,3 +210,9 @@ class Encoder:
             self.known.update(zip(new, (flat[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist()))))
         found = [self.known[w] for w in words]
         return np.frombuffer(b"".join(found), np.uint32), np.array([len(f) for f in found], np.int64) // 4
+
+
+@lru_cache(maxsize=1)
+def lasting_encoder(path: str, kept: int) -> Encoder:
+    """An encoder that the tasks of a Python worker share one after the other, so that words of the last one are known."""
+    return Encoder(path, kept)
