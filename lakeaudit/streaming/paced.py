@@ -7,6 +7,7 @@ files; what is to be read lies in a written table, a part for each task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,9 @@ from lakeaudit.sources.listing import open_root, qualified
 SCHEMA = "path string, start bigint, length bigint"
 _CHUNK = 4 * 1024 * 1024
 _FILES = 10_000
+# What a task has to read in a trigger, at least, before there is another one.
+_TASK_BYTES = 8 << 20
+_TASK_FILES = 1_000
 
 
 class _Stretch(InputPartition):
@@ -33,26 +37,28 @@ class _Stretch(InputPartition):
 class _PacedReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.table = options["root"], options["table"]
-        self.step, self.longest, self.parts = (int(options[k]) for k in ("step", "longest", "parts"))
+        self.step = int(options["step"])
+        self.longest = {int(part): length for part, length in json.loads(options["longest"]).items()}
         self.at = 0
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
     def latestOffset(self) -> dict:
-        return {"at": min(self.longest, self.at + self.step)}
+        return {"at": min(max(self.longest.values(), default=0), self.at + self.step)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         # a restarted query asks for an empty range first, which brings the position back
         self.at = end["at"]
-        return [_Stretch(k, start["at"], end["at"]) for k in range(self.parts)] if start["at"] < end["at"] else []
+        if start["at"] >= end["at"]:
+            return []
+        return [_Stretch(part, start["at"], end["at"]) for part, length in self.longest.items() if length > start["at"]]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, base = open_root(self.root)
         store, top = open_root(self.table)
-        files = ds.dataset(top, filesystem=store, format="parquet", partitioning=ds.partitioning(pa.schema([("part", pa.int32())]), flavor="hive"))
-        wanted = (ds.field("part") == partition.part) & (ds.field("length") > partition.start)
-        for batch in files.to_batches(columns=["path"], filter=wanted, batch_size=_FILES):
+        files = ds.dataset(f"{top.rstrip('/')}/part={partition.part}", filesystem=store, format="parquet")
+        for batch in files.to_batches(columns=["path"], filter=ds.field("length") > partition.start, batch_size=_FILES):
             paths = batch.column("path").to_pylist()
             if paths:
                 found = [_bytes_read(fs, f"{base.rstrip('/')}/{p}", partition.start, partition.end) for p in paths]
@@ -90,19 +96,23 @@ def paced_read(spark: SparkSession, root: str, files: DataFrame, step: int, part
     """A stream of (path, start, length): ``step`` bytes of every file of ``files`` (path, length) at each trigger.
 
     Paths are relative to ``root``; ``length`` in the result is what was really read, null for a file that
-    is gone. Files are dealt over ``parts`` tasks. Empty files and files of null length give no row. The
-    position is kept in the query's checkpoint; the same ``files`` must be named after a restart.
+    is gone. Files are dealt over ``parts`` tasks, by default one for each 8 MB or 1,000 files of a trigger, up to
+    the shuffle partitions; a task whose files have all ended is not started. Empty files and files of null
+    length give no row. The position is kept in the query's checkpoint; the same ``files`` must be named after a restart.
     """
     if step < 1:
         raise ValueError("step must be at least one byte")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = new_path(spark, "paced")
     dealt = files.select("path", F.col("length").cast("bigint").alias("length")).where("length > 0")
+    if not parts:
+        n, size = dealt.agg(F.count("*"), F.sum(F.least("length", F.lit(step)))).first()
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(-(-n // _TASK_FILES), -(-(size or 0) // _TASK_BYTES))))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
     dealt.repartition(parts, "part").write.partitionBy("part").parquet(table)
-    longest = spark.read.schema("length bigint").parquet(table).agg(F.max("length")).first()[0] or 0
+    # one number for each task
+    longest = spark.read.schema("length bigint, part int").parquet(table).groupBy("part").agg(F.max("length").alias("length")).orderBy("part").collect()
     spark.dataSource.register(PacedBytes)
-    options = {"root": qualified(spark, root), "table": qualified(spark, table), "step": step, "longest": longest, "parts": parts}
+    options = {"root": qualified(spark, root), "table": qualified(spark, table), "step": step, "longest": json.dumps({r["part"]: r["length"] for r in longest})}
     return spark.readStream.format("paced_bytes").options(**options).load()
 
 
