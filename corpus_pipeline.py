@@ -10,6 +10,10 @@ from lakeaudit.llm.common import parted, stored, table, without
 from lakeaudit.llm.pieces import default_path
 
 
+#: Bytes of text that are sorted at once: other stages' memory lies beside it.
+_SHARD = 1 << 20
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in small batches, so that what an executor holds beside its heap stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
@@ -35,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes (about 40 words) that stand anywhere else; characters that are cut in two go whole."""
     _small_batches(spark)
-    removed = repeats.remove_repeats(docs).where(F.size("spans") > 0)
+    removed = repeats.remove_repeats(docs, shard=_SHARD).where(F.size("spans") > 0)
     changed = stored(removed.select("doc_id", "h", "kept").withColumn("new", repeats.as_text("kept")).drop("kept").distinct(), "pipeline-cut")
     changed = changed.withColumnsRenamed({"doc_id": "c_id", "h": "c_h"})
     h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

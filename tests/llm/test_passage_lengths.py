@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -41,3 +42,16 @@ def test_a_benchmark_item_cut_as_a_repeat_is_still_a_leak(spark, sf):
     cut = docs.withColumn("text", F.when(F.col("doc_id") == gone, F.lit("what is left")).otherwise(F.col("text")))
     clean = {r.doc_id for r in corpus_pipeline.decontamination(spark, cut, sf).collect()}
     assert gone not in clean and clean == set(texts) - leaks
+
+
+def test_pipeline_sorts_a_megabyte_at_once(spark, sf, monkeypatch):
+    asked = {}
+
+    def noted(docs, **options):
+        asked.update(options)
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline.repeats, "remove_repeats", noted)
+    with pytest.raises(InterruptedError):
+        corpus_pipeline.byte_repeats(spark, None, sf)
+    assert asked["shard"] <= 1 << 20
